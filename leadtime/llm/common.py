@@ -52,7 +52,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column,
     ``df`` is read twice: pass a materialized table. Keys must not be null.
     """
     n_rows = df.count()
-    bits = max(4, (max(1, n_rows // per_bucket)).bit_length())
+    bits = max(8, (max(1, n_rows // per_bucket)).bit_length())
     bucket = F.shiftrightunsigned(spread, 64 - bits)
     b = df.withColumn("__b", bucket).withColumn("__spread", spread)
     counts = b.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
