@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, quality, sharding, url_filter
+from . import fingerprint, packing, quality, sharding, url_filter
 from .common import read_table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed vocabulary files of public tokenizers lie."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels")
     return url_filter.filter_urls(pages, url_filter.outcomes_from_labels(pages, labels))
@@ -24,6 +31,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(documents, quality.train(documents, read_table(spark, sf_dir, "labels")))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path or tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -32,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprint": op2_fingerprint,
     "op3_url_filter": op3_url_filter,
     "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
 
