@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard_join, packing, quality, sharding, url_filter
+from . import fingerprint, jaccard_join, mixing, packing, quality, secrets, sharding, url_filter
 from .common import read_table
 
 
@@ -22,6 +22,19 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.outcomes_from_labels(pages, labels))
 
 
+#: Shares of the mixture; a source not named has 1.
+TARGET_WEIGHTS = {"src0": 6, "src1": 4, "src2": 4, "src3": 3, "src4": 3, "src5": 2, "src6": 2}
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return secrets.scan(documents, secrets.learn(documents))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read_table(spark, sf_dir, "documents"), TARGET_WEIGHTS)
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -44,9 +57,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_fingerprint": op2_fingerprint,
     "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_mixing": op5_mixing,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
