@@ -14,14 +14,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``per_class`` learnable rows of each label, those with the smallest hash of doc_id.
+def sampled(documents: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, int]) -> DataFrame:
+    """(doc_id, text, y) of at most ``per_class`` learnable rows of each label (a pair: of label 0 and of label 1).
 
-    The one bounded step of a fit: ids are chosen first, so that only the texts chosen leave the executors.
-    Rows without text, doc_id or label do not count; of repeated labels the smallest counts.
+    Taken are those with the smallest hash of doc_id. The one bounded step of a fit: ids are chosen first, so that only the
+    texts chosen move. Rows without text, doc_id or label do not count; of repeated labels the smallest counts.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("y"))
+    zeros, ones = per_class if isinstance(per_class, tuple) else (per_class, per_class)
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.filter("y = 0").orderBy(*order).limit(per_class).unionByName(known.filter("y = 1").orderBy(*order).limit(per_class))
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    chosen = known.filter("y = 0").orderBy(*order).limit(zeros).unionByName(known.filter("y = 1").orderBy(*order).limit(ones))
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+
+
+def sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, int]) -> list[tuple[str, int]]:
+    """(text, label) of ``sampled`` rows, in order of doc_id."""
+    return [(r.text, r.y) for r in sorted(sampled(documents, labels, label, per_class).collect(), key=lambda r: (r.doc_id, r.text))]

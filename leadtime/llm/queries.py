@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard_join, mixing, packing, quality, secrets, sharding, url_filter
+from . import fingerprint, jaccard_join, mixing, packing, quality, secrets, sharding, toxicity, url_filter
 from .common import read_table
 
 
@@ -43,6 +43,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return toxicity.scores(documents, toxicity.train(documents, read_table(spark, sf_dir, "labels")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return quality.scores(documents, quality.train(documents, read_table(spark, sf_dir, "labels")))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,

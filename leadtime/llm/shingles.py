@@ -65,11 +65,12 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and len+1 offsets of each text's words."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, their first and end bytes, and len+1 offsets of each text's words."""
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = ~_SEP[raw]
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
+    word = ~separators[raw]
     before = np.empty_like(word)
     before[0] = False
     before[1:] = word[:-1]
@@ -84,7 +85,13 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_FOLD[raw] * _power_table(_P, len(raw))[: len(raw)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * _power_table(_PINV, len(raw))[starts])
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and len+1 offsets of each text's words."""
+    hashes, _, _, at = word_spans(raw, offsets)
+    return hashes, at
 
 
 def shingle_arrays(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
