@@ -42,6 +42,11 @@ def set_id(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
+def _leading(n, percent: int):
+    """How many leading columns of a set of n can hold the first meeting."""
+    return n - -(-percent * n // 100) + 1
+
+
 def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap of sets of sizes n and m: 100 i >= percent (n + m - i)."""
     return -((-percent * (n + m)) // (100 + percent))
@@ -113,7 +118,7 @@ def _incidence(documents: DataFrame, marked: np.ndarray, percent: int, width: in
                 if not n or sid in seen:
                     continue
                 seen.add(sid)
-                own = order.leading(s, n - -(-percent * n // 100) + 1)
+                own = order.leading(s, _leading(n, percent))
                 grams.append(own)
                 sids.append(np.full(len(own), sid, np.int64))
                 ns.append(np.full(len(own), n, np.int32))
@@ -124,8 +129,11 @@ def _incidence(documents: DataFrame, marked: np.ndarray, percent: int, width: in
     return documents.mapInArrow(run, "gram long, sid long, n int, place int")
 
 
-def _meetings(gram, sid, n, place, percent: int, reach: int, part=None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, row) of sorted incidence rows that share a column, at most ``reach`` rows apart, and can reach the overlap needed."""
+def _meetings(gram, n, percent: int, reach: int, place=None, part=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sorted incidence rows at most ``reach`` apart that share a column and whose sizes allow a link.
+
+    With ``place`` and ``part`` only pairs of different parts whose columns from here on can still reach the overlap needed.
+    """
     found_a, found_b = [], []
     live = np.arange(len(gram))
     for step in range(1, reach + 1):
@@ -135,10 +143,9 @@ def _meetings(gram, sid, n, place, percent: int, reach: int, part=None) -> tuple
             break
         i, j = live, live + step
         need = _needed(n[i].astype(np.int64), n[j].astype(np.int64), percent)
-        can = np.minimum(n[i] - place[i], n[j] - place[j]) >= need
-        can &= np.minimum(n[i], n[j]) >= need
+        can = np.minimum(n[i], n[j]) >= need
         if part is not None:
-            can &= part[i] != part[j]
+            can &= (part[i] != part[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
         found_a.append(i[can])
         found_b.append(j[can])
     empty = np.zeros(0, np.int64)
@@ -153,8 +160,10 @@ def _read_all(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 def _column_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     """The product over leading columns, a block of columns in each task.
 
-    Gives pairs (a, b) as kind 0 and, as kind 1, the rows of columns too long to take all pairs from.
+    Kind 0 are pairs (a, b) with their sizes and the overlap counted in this block's short columns; kind 1 are the rows of the
+    columns too long to take all pairs from, whose neighbours in size are pairs with overlap 0 here.
     """
+    names = ["kind", "a", "b", "n", "m", "overlap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _read_all(batches)
@@ -171,19 +180,37 @@ def _column_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
         some = size > 1
         gram, sid, n, place, size = gram[some], sid[some], n[some], place[some], size[some]
         long = size > SHORT
-        pairs = []
-        for pick, reach in ((~long, SHORT), (long, 2)):
-            i, j = _meetings(gram[pick], sid[pick], n[pick], place[pick], percent, reach)
-            s = sid[pick]
-            pairs.append(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j])], 1))
-        both = np.unique(np.concatenate(pairs), axis=0) if sum(map(len, pairs)) else np.zeros((0, 2), np.int64)
-        zero = np.zeros(len(both), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(zero), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(zero), pa.array(zero)], ["kind", "a", "b", "n", "place"])
+        for pick, reach, each in ((~long, SHORT, 1), (long, 2, 0)):
+            i, j = _meetings(gram[pick], n[pick], percent, reach)
+            s, k = sid[pick], n[pick]
+            flip = s[i] > s[j]
+            i, j = np.where(flip, j, i), np.where(flip, i, j)
+            order = np.lexsort((s[j], s[i]))
+            i, j = i[order], j[order]
+            new = np.flatnonzero(np.concatenate([[True], (s[i[1:]] != s[i[:-1]]) | (s[j[1:]] != s[j[:-1]])])) if len(i) else np.zeros(0, np.int64)
+            count = np.diff(np.concatenate([new, [len(i)]])) * each
+            i, j = i[new], j[new]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), np.int32)), pa.array(s[i]), pa.array(s[j]), pa.array(k[i]), pa.array(k[j]), pa.array(count.astype(np.int32))], names)
         if long.any():
             one = np.ones(int(long.sum()), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(gram[long]), pa.array(sid[long]), pa.array(n[long]), pa.array(place[long])], ["kind", "a", "b", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(gram[long]), pa.array(sid[long]), pa.array(n[long]), pa.array(place[long]), pa.array(one)], names)
 
-    return rows.repartition(parts, "gram").mapInArrow(run, "kind int, a long, b long, n int, place int")
+    return rows.repartition(parts, "gram").mapInArrow(run, "kind int, a long, b long, n int, m int, overlap int")
+
+
+def _candidates(met: DataFrame, long: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) whose overlap, summed over all column blocks, can still reach what their sizes need.
+
+    Common n-grams are leading in both sets, and then counted unless their column is long, or lie beyond the
+    leading ones of the set whose leading ones end first: at most n - leading(n) of them.
+    """
+    pairs = met.filter("kind = 0").groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("overlap").alias("overlap"))
+    if long is not None:
+        columns = long.groupBy("sid").agg(F.count(F.lit(1)).alias("c"))
+        pairs = pairs.join(columns.select(F.col("sid").alias("a"), F.col("c").alias("ca")), "a", "left").join(columns.select(F.col("sid").alias("b"), F.col("c").alias("cb")), "b", "left")
+        pairs = pairs.withColumn("overlap", F.col("overlap") + F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0))))
+    beyond = lambda c: f"(({percent} * {c} + 99) div 100 - 1)"
+    return pairs.filter(F.expr(f"overlap + greatest({beyond('n')}, {beyond('m')}) >= ({percent} * (n + m) + {99 + percent}) div {100 + percent}")).select("a", "b")
 
 
 def _across(long: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -201,7 +228,7 @@ def _across(long: DataFrame, percent: int, parts: int) -> DataFrame:
             own = slice(lo, hi)
             if (part[own] == part[lo]).all():
                 continue
-            i, j = _meetings(gram[own], sid[own], n[own], place[own], percent, hi - lo, part[own])
+            i, j = _meetings(gram[own], n[own], percent, hi - lo, place[own], part[own])
             s = sid[own]
             both = np.unique(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j])], 1), axis=0)
             for at in range(0, len(both), 100_000):
@@ -337,10 +364,11 @@ def jaccard_components(documents: DataFrame, percent: int = 80, width: int = WID
     # a task holds its block of columns whole: about a million rows of 24 bytes
     column_parts = max(parts, total * (100 - percent) // 100 // 1_000_000 + 1)
     met = materialize(_column_blocks(_incidence(docs, marked, percent, width), percent, column_parts), "meetings")
-    pairs = materialize(met.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    long = met.filter("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("sid"), "n", "place")
+    long = met.filter("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("sid"), "n", F.col("m").alias("place"))
+    some_long = not long.isEmpty()
+    pairs = materialize(_candidates(met, long if some_long else None, percent), "pairs")
     links = materialize(_linked(pairs, materialize(_involved(docs, pairs, width), "involved"), percent, parts), "links")
-    if not long.isEmpty():
+    if some_long:
         known = connected_components(links)
         labelled = long.join(known, long["sid"] == known["node"], "left").select("gram", "sid", "n", "place", F.coalesce("root", "sid").alias("part"))
         more = materialize(_across(labelled, percent, parts).distinct(), "pairs").join(pairs, ["a", "b"], "left_anti")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -14,35 +19,69 @@ from pyspark.sql import functions as F
 from .common import materialize, ranked
 
 LENGTH = 2048
-#: Most words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
+#: Most strings whose ids a worker remembers, about 200 bytes each; beyond it starts anew.
+REMEMBERED = 800_000
+#: Texts whose strings are held at a time.
+TEXTS = 400
 
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-ſ"
+#: What the tokenizer's own splitting does within ASCII and the Latin letters that have one normal form each.
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\r\f\v{_LETTERS}0-9]+")
+_OTHER = re.compile(r"[^\x00-\x7fÀ-ſ]|<\|")
 
-def encoder(tokenizer_path: str):
-    """text -> little-endian ids of a tokenizer that never joins across a space or line feed, remembering words.
 
-    Texts are cut at U+0020 and U+000A, which such tokenizers drop, and each distinct word is tokenised once per worker.
+def encoder(tokenizer_path: str, split_latin: bool):
+    """texts -> little-endian ids of each, by a tokenizer that drops spaces and never joins across them.
+
+    Texts are cut at U+0020 and U+000A; with ``split_latin``, for a tokenizer that lower-cases and splits as ``_PARTS`` does, a text
+    of ASCII and Latin letters is cut finer. Each distinct string is tokenised once per worker.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     known: dict[str, bytes] = {"": b""}
 
-    def encode(text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in {*words} if w not in known]
+    def cut(text: str) -> list[str]:
+        if split_latin and not _OTHER.search(text):
+            return _PARTS.findall(text.lower())
+        return text.replace("\n", " ").split(" ")
+
+    def encode(texts: list[str]) -> Iterator[bytes]:
+        words = [cut(t) for t in texts]
+        if len(known) > REMEMBERED:
+            known.clear()
+            known[""] = b""
+        new = list({w for own in words for w in own if w not in known})
         if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-                new = list({*words} - {""})
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                ids = array("I", e.ids)
+                known[w] = ids.tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+        for own in words:
+            yield b"".join([known[w] for w in own])
 
     return encode
 
 
+def splits_latin(tokenizer_path: str) -> bool:
+    """Whether the tokenizer normalises by NFC, white space and lower case and splits as ``_PARTS`` does, by its file."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        held = json.load(file)
+    kinds = [x["type"] for x in (held.get("normalizer") or {}).get("normalizers", [])]
+    split = (held.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+    return kinds == ["NFC", "Replace", "Lowercase"] and split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+_encoders: dict = {}
+
+
+def _workers_own(tokenizer_path: str):
+    """This worker's encoder, kept from task to task."""
+    if tokenizer_path not in _encoders:
+        _encoders[tokenizer_path] = encoder(tokenizer_path, splits_latin(tokenizer_path))
+    return _encoders[tokenizer_path]
+
+
 def pieces(documents: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids plus ``end_id``, cut only beyond ``length``.
 
@@ -52,14 +91,16 @@ def pieces(documents: DataFrame, tokenizer_path: str, end_id: int = 0, length: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        encode, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = _workers_own(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            docs, out = batch["doc_id"].to_pylist(), []
-            for doc, text in zip(docs, batch["text"]):
-                ids = encode(text.as_py() or "") + end
-                for p, at in enumerate(range(0, len(ids), 4 * length)):
-                    own = ids[at : at + 4 * length]
-                    out.append((doc, p, p * length, len(own) // 4, zlib.crc32(own)))
+            out = []
+            for some in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):
+                texts = some["text"].fill_null("").to_pylist()
+                for doc, ids in zip(some["doc_id"].to_pylist(), encode(texts)):
+                    ids += end
+                    for p, at in enumerate(range(0, len(ids), 4 * length)):
+                        own = ids[at : at + 4 * length]
+                        out.append((doc, p, p * length, len(own) // 4, zlib.crc32(own)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 

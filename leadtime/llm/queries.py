@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard_join, mixing, packing, quality, secrets, sharding, toxicity, url_filter
+from . import fingerprint, jaccard_join, mixing, neighbours, packing, quality, secrets, sharding, toxicity, url_filter
 from .common import read_table
 
 
@@ -48,6 +49,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(documents, toxicity.train(documents, read_table(spark, sf_dir, "labels")))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return quality.scores(documents, quality.train(documents, read_table(spark, sf_dir, "labels")))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_neighbours": op7_neighbours,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialize
 
 #: (verdict, host, path prefix)
 RULES = (
@@ -46,16 +46,15 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return fits
 
 
-def _precision(groups: DataFrame, parent: str, out: str) -> DataFrame:
-    """One row: the beta prior's weight in pseudo-counts, by moments.
+def _precision(groups: DataFrame, parent: Column) -> float:
+    """The beta prior's weight in pseudo-counts, by moments.
 
     For beta-binomial groups E[n (p - m)^2 / (m (1 - m))] = 1 + (n - 1) rho, and the weight is 1 / rho - 1.
     """
-    m = F.col(parent)
-    q = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - m, 2) / (m * (1 - m)))
+    q = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - parent, 2) / (parent * (1 - parent)))
     rho = (q - F.count(F.lit(1))) / F.greatest(F.sum(F.col("n") - 1), F.lit(1))
     held = F.least(F.greatest(F.coalesce(rho, F.lit(0.01)), F.lit(0.001)), F.lit(0.99))
-    return groups.agg((1 / held - 1).alias(out))
+    return groups.agg((1 / held - 1).alias("w")).first()["w"]
 
 
 def host_levels(host: Column) -> tuple[Column, Column]:
@@ -63,31 +62,40 @@ def host_levels(host: Column) -> tuple[Column, Column]:
     return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
 
 
-def host_reputation(outcomes: DataFrame, settings: Reputation = Reputation()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Posterior of every level from labelled outcomes (host, bad in {0,1}).
+@dataclass(frozen=True)
+class Levels:
+    """Outcomes shrunk level by level: ``hosts`` (host, n, bad), ``domains`` (domain, m2), ``suffixes`` (suffix, m1), corpus mean and host weight."""
+
+    hosts: DataFrame
+    domains: DataFrame
+    suffixes: DataFrame
+    mean: float
+    weight: float
+
+
+def host_reputation(outcomes: DataFrame) -> Levels:
+    """Posterior means of every level above the hosts from labelled outcomes (host, bad in {0,1}).
 
     The corpus rate is the suffixes' prior mean, a suffix's posterior mean that of its domains', a domain's
-    that of its hosts'; each level's weight comes from the spread of its own groups. Returns (hosts, domains,
-    suffixes, corpus), each with a posterior mean ``m`` and ``weight``, what its children take as prior. Outcomes with a null
-    host or label do not count. Everything is a grouped sum with map-side combination: a hot host costs no more than a rare one.
+    that of its hosts'; each level's weight comes from the spread of its own groups. Outcomes with a null
+    host or label do not count. Everything is a grouped sum with map-side combination: a hot host costs no more than a rare one;
+    the table of hosts is written once and what passes the driver is one number a level.
     """
     known = outcomes.filter(F.col("host").isNotNull() & F.col("bad").isNotNull())
     domain, suffix = host_levels(F.col("host"))
-    hosts = known.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).withColumns({"domain": domain, "suffix": suffix})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    corpus = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("m0"))
-
-    suffixes = suffixes.join(F.broadcast(corpus))
-    corpus = corpus.join(F.broadcast(_precision(suffixes, "m0", "w0")))
-    suffixes = suffixes.drop("m0").join(F.broadcast(corpus)).withColumn("m1", (F.col("bad") + F.col("w0") * F.col("m0")) / (F.col("n") + F.col("w0")))
-    below = domains.join(suffixes.select("suffix", "m1"), "suffix")
-    w1 = _precision(below, "m1", "w1")
-    domains = below.join(F.broadcast(w1)).withColumn("m2", (F.col("bad") + F.col("w1") * F.col("m1")) / (F.col("n") + F.col("w1")))
-    under = hosts.join(domains.select("domain", "m2"), "domain")
-    w2 = _precision(under, "m2", "w2")
-    hosts = under.join(F.broadcast(w2))
-    return hosts.select("host", "n", "bad"), domains.select("domain", "m2"), suffixes.select("suffix", "m1"), corpus.join(F.broadcast(w1)).join(F.broadcast(w2))
+    hosts = known.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    hosts = materialize(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    suffixes = materialize(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
+    mean = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("m")).first()["m"]
+    shrunk = lambda weight, prior: (F.col("bad") + weight * prior) / (F.col("n") + weight)
+    w0 = _precision(suffixes, F.lit(mean))
+    suffixes = suffixes.select("suffix", shrunk(w0, mean).alias("m1"))
+    domains = domains.join(suffixes, "suffix")
+    w1 = _precision(domains, F.col("m1"))
+    domains = materialize(domains.select("domain", shrunk(w1, F.col("m1")).alias("m2")), "domains")
+    w2 = _precision(hosts.join(domains, "domain"), F.col("m2"))
+    return Levels(hosts.select("host", "n", "bad"), domains, suffixes, mean, w2)
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, settings: Reputation = Reputation()) -> DataFrame:
@@ -99,18 +107,17 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, settings: Re
     the suffix's, else the corpus's.
     """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hosts, domains, suffixes, corpus = host_reputation(outcomes, settings)
+    known = host_reputation(outcomes)
     domain, suffix = host_levels(F.col("host"))
     distinct = urls.select("host").distinct().withColumns({"domain": domain, "suffix": suffix})
-    prior = F.coalesce(F.col("d.m2"), F.col("s.m1"), F.col("m0"))
+    prior = F.coalesce(F.col("d.m2"), F.col("s.m1"), F.lit(known.mean))
     n, bad = F.coalesce(F.col("h.n"), F.lit(0)), F.coalesce(F.col("h.bad"), F.lit(0))
-    a, b = bad + F.col("w2") * prior, n - bad + F.col("w2") * (1 - prior)
+    a, b = bad + known.weight * prior, n - bad + known.weight * (1 - prior)
     judged = (
         distinct.alias("u")
-        .join(hosts.alias("h"), F.col("u.host") == F.col("h.host"), "left")
-        .join(domains.alias("d"), F.col("u.domain") == F.col("d.domain"), "left")
-        .join(suffixes.alias("s"), F.col("u.suffix") == F.col("s.suffix"), "left")
-        .join(F.broadcast(corpus))
+        .join(known.hosts.alias("h"), F.col("u.host") == F.col("h.host"), "left")
+        .join(known.domains.alias("d"), F.col("u.domain") == F.col("d.domain"), "left")
+        .join(known.suffixes.alias("s"), F.col("u.suffix") == F.col("s.suffix"), "left")
         .select(F.col("u.host").alias("host"), (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"))
         .select("host", F.round("mean", 6).alias("bad_rate"), F.round(F.col("mean") - settings.z * F.col("sd"), 6).alias("bad_bound"))
     )
