@@ -1,16 +1,61 @@
-"""Corpus pipeline: the stages that turn ``documents`` into packed training sequences."""
+"""Corpus pipeline: from ``documents`` to packed training sequences.
+
+Stages, in this order: the quality classifier drops what it rejects; the n-gram Jaccard join leaves one document of each group;
+the secret scan masks secrets in the texts; mixing orders the rows so that sources interleave to their target weights; best-fit packing places the
+tokenised texts in sequences. Every stage works on all rows of the stage before; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from leadtime.llm import jaccard_join, mixing, packing, quality, secrets
+from leadtime.llm.common import materialize, read_table
+from leadtime.llm.queries import TARGET_WEIGHTS, tokenizer_file
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose calibrated score is under 0.3."""
+    return quality.kept(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves one document of each component of 0.8-alike 5-word shingle sets."""
+    return jaccard_join.one_of_each(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks the secrets that the forest confirms; no document goes."""
+    return secrets.redacted(docs, secrets.learn(docs))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Orders all documents by their place in the mixture."""
+    return mixing.mixed(docs, TARGET_WEIGHTS).orderBy("place").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens and their places in sequences."""
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("secret_scans", secret_scans),
+    ("mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: SQL cannot express training and packing; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages in order over ``documents``, each written to the shared folder and read again by the next."""
+    docs = read_table(spark, sf_dir, "documents")
+    for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs = materialize(docs, name)
     return docs

@@ -53,10 +53,10 @@ def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(documents: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, n, sid) of documents and, apart from them, (count, gram) of n-grams met at least twice in a task."""
+    """Rows (doc_id, text_hash, n, sid) of documents and, apart from them, (count, gram) of n-grams met at least twice in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "sid", "gram"]
+        names = ["doc_id", "text_hash", "n", "sid", "gram"]
         held, size, seen = [], 0, set()
 
         def often() -> pa.RecordBatch:
@@ -65,7 +65,7 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
             count = np.diff(np.concatenate([new, [len(grams)]]))
             twice = count > 1
             k = int(twice.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(count[twice]), pa.nulls(k, pa.int64()), pa.array(grams[new[twice]].view(np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(count[twice]), pa.nulls(k, pa.int64()), pa.array(grams[new[twice]].view(np.int64))], names)
 
         for batch in batches:
             n, ids = [], []
@@ -76,13 +76,13 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
                     seen.add(ids[-1])
                     held.append(s)
                     size += len(s)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(n), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(n), pa.int64())], names)
             if size > 6_000_000:
                 yield often()
                 held, size, seen = [], 0, set()
         yield often()
 
-    return documents.mapInArrow(run, "doc_id long, n long, sid long, gram long")
+    return documents.mapInArrow(run, "doc_id long, text_hash long, n long, sid long, gram long")
 
 
 class _Order:
@@ -126,7 +126,7 @@ def _incidence(documents: DataFrame, marked: np.ndarray, percent: int, width: in
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(places))], ["gram", "sid", "n", "place"])
 
-    return documents.mapInArrow(run, "gram long, sid long, n int, place int")
+    return documents.select("text").mapInArrow(run, "gram long, sid long, n int, place int")
 
 
 def _meetings(gram, n, percent: int, reach: int, place=None, part=None) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +283,7 @@ def _involved(documents: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
             if sids:
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(grams, pa.binary())], ["sid", "n", "grams"])
 
-    return documents.mapInArrow(run, "sid long, n long, grams binary").dropDuplicates(["sid"])
+    return documents.select("text").mapInArrow(run, "sid long, n long, grams binary").dropDuplicates(["sid"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -346,7 +346,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> Data
 
 
 def jaccard_components(documents: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``documents`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, text_hash) for every row of ``documents`` (doc_id, text).
 
     Two rows link when their sets of distinct ``width``-word shingles have 100 * intersection >= percent * union;
     component_id is the smallest doc_id reachable, the row's own included. Rows without words (null or empty text) have no
@@ -354,7 +354,8 @@ def jaccard_components(documents: DataFrame, percent: int = 80, width: int = WID
     doc_ids take part and count as largest, so component_id is null only where no member has one.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = materialize(_sets(docs, width), "sets")
     rows, grams = first.filter("gram is null").drop("gram"), first.filter("gram is not null")
@@ -382,4 +383,25 @@ def jaccard_components(documents: DataFrame, percent: int = 80, width: int = WID
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = joined.join(least, "root").select(F.col("sid").alias("s"), "component_id")
     found = rows.join(of_class, (rows["sid"] == of_class["s"]) & (rows["n"] > 0), "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
+
+
+def one_of_each(documents: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
+    """``documents``, all columns, with one row left of each component: the row whose doc_id is the component's.
+
+    Of several such rows that with the smallest text hash stays, of equal rows any one. Rows without words stay, one for each doc_id; rows without
+    doc_id stay unless a linked row has one.
+    """
+    found = materialize(jaccard_components(documents, percent, width), "components")
+    own = found.filter("component_id = doc_id").groupBy("component_id", (F.col("n_shingles") > 0).alias("worded")).agg(F.min("text_hash").alias("best"))
+    own = own.select(F.col("component_id").alias("c"), "worded", "best")
+    same = (found["component_id"] == own["c"]) & ((found["n_shingles"] > 0) == own["worded"])
+    gone = found.join(own, same, "left").filter("c is not null and not (doc_id <=> c and text_hash = best)").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct()
+    again = found.filter("doc_id is not null").groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"))
+    columns, keyed = documents.columns, documents.withColumns({"__d0": F.col("doc_id").cast("long"), "__t0": F.xxhash64(F.col("text").cast("string"))})
+    hit = F.col("__d0").eqNullSafe(F.col("__d")) & (F.col("__t0") == F.col("__t"))
+    left = keyed.join(materialize(gone, "gone"), hit, "left_anti")
+    again = materialize(again, "again")
+    if not again.isEmpty():
+        left = left.join(again, hit, "left_anti").unionByName(left.join(again, hit, "left_semi").dropDuplicates(["__d0", "__t0"]))
+    return left.select(*columns)

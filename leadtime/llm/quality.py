@@ -126,3 +126,18 @@ def scores(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_
 
     rows = documents.select(*columns, held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("__text"))
     return rows.mapInArrow(run, f"{kinds}, held_out boolean, score double, predicted int")
+
+
+def kept(documents: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
+    """The rows of ``documents`` that score at least ``cut``, all columns as they are; null text counts as empty.
+
+    Only the text column goes to Python.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        scorer = Scorer(sent.value)
+        return pa.array([scorer.score(t or b"") for t in text.cast(pa.binary()).to_pylist()], pa.float64())
+
+    return documents.filter(score(F.col("text").cast("string")) >= cut)
