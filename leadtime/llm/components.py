@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Edges that one task takes, 16 bytes each.
+ONE_TASK = 2_000_000
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Roots by hooking every end to the smaller root and halving paths until nothing moves."""
+    ends = [np.stack([b["a"].to_numpy(), b["b"].to_numpy()], 1) for b in batches if b.num_rows]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    at = at.reshape(-1, 2)
+    root = np.arange(len(nodes))
+    while True:
+        u, v = root[at[:, 0]], root[at[:, 1]]
+        apart = u != v
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(u, v)[apart], np.minimum(u, v)[apart])
+        while (root != root[root]).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) for every node with an edge; root is the smallest node of its component.
 
-    Alternates large-star and small-star steps: each round is two grouped minima over the edges, no row ever
+    Up to ``one_task`` edges, counted first, one task does it all in numpy. Beyond that it alternates large-star and small-star steps: each round is two grouped minima over the edges, no row
     holds a neighbour list and a hub's neighbours are reduced on the map side first. Every round is written to
     the shared folder, so a lost executor costs one round. Self-loops and repeated edges are legal; null ends are dropped.
     """
@@ -27,8 +53,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
+    e = materialize(e.select(F.col("a").cast("long"), F.col("b").cast("long")), "edges")
+    if e.count() <= one_task:
+        return e.coalesce(1).mapInArrow(_in_one_task, "node long, root long")
     nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
-    current, seen = materialize(e.filter("a <> b").distinct(), "edges"), None
+    current, seen = e.filter("a <> b").distinct(), None
     for _ in range(rounds):
         current = materialize(starred(starred(current, True), False), "edges")
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

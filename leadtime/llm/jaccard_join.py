@@ -9,7 +9,7 @@ of its product with its transpose. Three facts bound the work, none of them lose
   leading columns only. The order puts the n-grams found often in some part of the corpus last (a statistic of all texts that only
   steers the work), so a passage that many documents share is no leading column of theirs. Pairs whose size or remaining
   columns cannot reach c are discarded while the counts accumulate.
-* Only components are asked for. A long column gives its consecutive pairs first; what is then in one component
+* Only components are asked for. Members of long columns are first paired with their nearest neighbours in size; what is then in one component
   needs no more pairs, and only pairs across components are taken from it afterwards.
 
 Sets are of 64-bit hashes; a chance meeting of two n-grams is the one source of error (2**-64 a pair).
@@ -31,6 +31,8 @@ from .shingles import WIDTH, shingle_sets
 
 #: Members of a column up to which all its pairs are taken at once.
 SHORT = 64
+#: Neighbours in size that a member of a longer column is paired with at first.
+NEAREST = 12
 #: Most n-grams marked as frequent; the most frequent ones of all that are.
 MARKED = 1 << 19
 #: N-grams of a verification block, about 8 bytes each in memory.
@@ -77,7 +79,7 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
                     held.append(s)
                     size += len(s)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(n), pa.int64())], names)
-            if size > 6_000_000:
+            if size > 3_000_000:
                 yield often()
                 held, size, seen = [], 0, set()
         yield often()
@@ -161,7 +163,7 @@ def _column_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     """The product over leading columns, a block of columns in each task.
 
     Kind 0 are pairs (a, b) with their sizes and the overlap counted in this block's short columns; kind 1 are the rows of the
-    columns too long to take all pairs from, whose neighbours in size are pairs with overlap 0 here.
+    columns too long to take all pairs from.
     """
     names = ["kind", "a", "b", "n", "m", "overlap"]
 
@@ -180,17 +182,16 @@ def _column_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
         some = size > 1
         gram, sid, n, place, size = gram[some], sid[some], n[some], place[some], size[some]
         long = size > SHORT
-        for pick, reach, each in ((~long, SHORT, 1), (long, 2, 0)):
-            i, j = _meetings(gram[pick], n[pick], percent, reach)
-            s, k = sid[pick], n[pick]
-            flip = s[i] > s[j]
-            i, j = np.where(flip, j, i), np.where(flip, i, j)
-            order = np.lexsort((s[j], s[i]))
-            i, j = i[order], j[order]
-            new = np.flatnonzero(np.concatenate([[True], (s[i[1:]] != s[i[:-1]]) | (s[j[1:]] != s[j[:-1]])])) if len(i) else np.zeros(0, np.int64)
-            count = np.diff(np.concatenate([new, [len(i)]])) * each
-            i, j = i[new], j[new]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), np.int32)), pa.array(s[i]), pa.array(s[j]), pa.array(k[i]), pa.array(k[j]), pa.array(count.astype(np.int32))], names)
+        i, j = _meetings(gram[~long], n[~long], percent, SHORT)
+        s, k = sid[~long], n[~long]
+        flip = s[i] > s[j]
+        i, j = np.where(flip, j, i), np.where(flip, i, j)
+        order = np.lexsort((s[j], s[i]))
+        i, j = i[order], j[order]
+        new = np.flatnonzero(np.concatenate([[True], (s[i[1:]] != s[i[:-1]]) | (s[j[1:]] != s[j[:-1]])])) if len(i) else np.zeros(0, np.int64)
+        count = np.diff(np.concatenate([new, [len(i)]]))
+        i, j = i[new], j[new]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), np.int32)), pa.array(s[i]), pa.array(s[j]), pa.array(k[i]), pa.array(k[j]), pa.array(count.astype(np.int32))], names)
         if long.any():
             one = np.ones(int(long.sum()), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(gram[long]), pa.array(sid[long]), pa.array(n[long]), pa.array(place[long]), pa.array(one)], names)
@@ -213,6 +214,24 @@ def _candidates(met: DataFrame, long: DataFrame | None, percent: int) -> DataFra
     return pairs.filter(F.expr(f"overlap + greatest({beyond('n')}, {beyond('m')}) >= ({percent} * (n + m) + {99 + percent}) div {100 + percent}")).select("a", "b")
 
 
+def _seeds(long: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs (a, b) of nearest neighbours in size, of each member in its first and last long column only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _read_all(batches)
+        if table is None:
+            return
+        gram, sid, n = (table[c].to_numpy() for c in ("gram", "sid", "n"))
+        order = np.lexsort((sid, n, gram))
+        gram, sid, n = gram[order], sid[order], n[order]
+        i, j = _meetings(gram, n, percent, NEAREST)
+        both = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+    homes = long.groupBy("sid").agg(F.array_distinct(F.array(F.min("gram"), F.max("gram"))).alias("g"), F.max("n").alias("n"))
+    return homes.select(F.explode("g").alias("gram"), "sid", "n").repartition(parts, "gram").mapInArrow(run, "a long, b long")
+
+
 def _across(long: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs (a, b) of long columns whose ends are in different components; ``long``: gram, sid, n, place, part."""
 
@@ -304,7 +323,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> Data
     tiles = each.join(sets.select("sid", "n"), "sid").groupBy("key").agg(F.sum("n").alias("t")).select("key", F.expr(f"t div {BLOCK} + 1").alias("tiles"))
     tiled = keyed.join(tiles, "key")
     x, y = F.pmod(F.xxhash64("a"), F.col("tiles")), F.pmod(F.xxhash64("b"), F.col("tiles"))
-    tiled = tiled.select("a", "b", F.xxhash64("key", F.least(x, y), F.greatest(x, y)).alias("block"))
+    tiled = materialize(tiled.select("a", "b", F.xxhash64("key", F.least(x, y), F.greatest(x, y)).alias("block")), "tiles")
     rows = tiled.select("block", F.col("a").alias("sid")).unionByName(tiled.select("block", F.col("b").alias("sid"))).distinct().join(sets.select("sid", "grams"), "sid")
     work = (
         rows.select("block", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(0).cast("long").alias("b"), "grams")
@@ -367,7 +386,8 @@ def jaccard_components(documents: DataFrame, percent: int = 80, width: int = WID
     met = materialize(_column_blocks(_incidence(docs, marked, percent, width), percent, column_parts), "meetings")
     long = met.filter("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("sid"), "n", F.col("m").alias("place"))
     some_long = not long.isEmpty()
-    pairs = materialize(_candidates(met, long if some_long else None, percent), "pairs")
+    pairs = _candidates(met, long if some_long else None, percent)
+    pairs = materialize(pairs.unionByName(_seeds(long, percent, parts)).distinct() if some_long else pairs, "pairs")
     links = materialize(_linked(pairs, materialize(_involved(docs, pairs, width), "involved"), percent, parts), "links")
     if some_long:
         known = connected_components(links)
