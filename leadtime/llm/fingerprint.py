@@ -89,7 +89,7 @@ def merged(prints: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """
     width = 8 * BYTES // 6
     parts = prints.filter(F.length("fingerprint") > 0).withColumn("__part", F.pmod(F.xxhash64("fingerprint"), F.lit(64)))
-    values = parts.select(*keys, "__part", F.explode(F.expr(f"transform(sequence(0, length(fingerprint) div {width} - 1), i -> conv(hex(unbase64(translate(substr(fingerprint, i * {width} + 1, {width}), '-_', '+/'))), 16, 10))")).cast("long").alias("v"))
+    values = parts.select(*keys, "__part", F.explode(F.expr(f"transform(sequence(0, length(fingerprint) div {width} - 1), i -> cast(conv(hex(unbase64(translate(substr(fingerprint, i * {width} + 1, {width}), '-_', '+/'))), 16, 10) as bigint))")).alias("v"))
     some = values.groupBy(*keys, "__part").agg(F.slice(F.array_sort(F.collect_set("v")), 1, k).alias("vs"))
     whole = some.groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("vs")))), 1, k).alias("vs"))
     coded = F.expr(f"array_join(transform(vs, v -> translate(base64(unhex(lpad(hex(v), {2 * BYTES}, '0'))), '+/', '-_')), '')")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
@@ -103,7 +103,7 @@ def shingle_arrays(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) ->
     if not len(words):
         return np.zeros(0, np.uint64), out_at
     total = np.zeros(len(words), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(words))):
         total[: len(words) - k] += words[k:] * _Q[k]
     index = np.repeat(at[:-1] - out_at[:-1], count) + np.arange(out_at[-1])
     out = total[index]
