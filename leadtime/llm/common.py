@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,18 @@ def work_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int = 2000):
+    """Within it, Arrow batches to Python workers hold at most ``most`` rows, so that long texts do not add up in a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(before, most) if before > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
@@ -33,7 +46,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     and lets several consumers share one computation.
     """
     path = f"{work_dir(df.sparkSession)}/leadtime/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ from .common import materialize, ranked
 
 LENGTH = 2048
 #: Most strings whose ids a worker remembers, about 200 bytes each; beyond it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Texts whose strings are held at a time.
 TEXTS = 400
 
