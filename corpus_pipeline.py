@@ -2,7 +2,7 @@
 
 Stages, in this order: the quality classifier drops what it rejects; the n-gram Jaccard join leaves one document of each group;
 the secret scan masks secrets in the texts; mixing orders the rows so that sources interleave to their target weights; best-fit packing places the
-tokenised texts in sequences. Every stage works on all rows of the stage before; all but the last return the columns of documents.
+tokenised texts in sequences, which follow the order of the rows. Every stage works on all rows of the stage before; all but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadtime.llm import jaccard_join, mixing, packing, quality, secrets
-from leadtime.llm.common import materialize, read_table
+from leadtime.llm.common import in_row_order, materialize, read_table
 from leadtime.llm.queries import TARGET_WEIGHTS, tokenizer_file
 
 
@@ -35,8 +35,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
-    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+    """Pieces of at most 2048 tokens and their places in sequences, pieces of a length and sequences in the order of ``docs``."""
+    return packing.pack_documents(in_row_order(docs), tokenizer_file("word_bpe_49k.json"), place="place")
 
 
 STAGES = [

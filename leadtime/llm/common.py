@@ -51,6 +51,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_row_order(df: DataFrame, out: str = "place") -> DataFrame:
+    """``df`` plus ``out``, the 0-based position of every row in the order in which ``df`` holds its rows.
+
+    A scan takes files in an order of its own, but a written table keeps its order: part files by number, rows by index. A frame that
+    is not a plain scan is written first. What is broadcast is a row count for each file.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = materialize(df, "ordered")
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    part = F.regexp_extract("__file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.orderBy(part, "__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n")).select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return rows.join(F.broadcast(starts), "__file").select(*df.columns, (F.col("__start") + F.col("__row")).alias(out))
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only; every other code point stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

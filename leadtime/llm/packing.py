@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ranked
@@ -82,30 +82,34 @@ def _workers_own(tokenizer_path: str):
     return _encoders[tokenizer_path]
 
 
-def pieces(documents: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = LENGTH) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = LENGTH, place: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids plus ``end_id``, cut only beyond ``length``.
 
-    Null text is empty: one piece of the end id alone. A map stage without shuffle; only the digests leave it.
+    With ``place``, that column of the documents comes along as place. Null text is empty: one piece of the end id alone. A map stage without shuffle; only the digests leave it.
     """
 
+    carried = place is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["place"] * carried
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.int64()] * carried
         encode, end = _workers_own(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
             for some in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):
                 texts = some["text"].fill_null("").to_pylist()
-                for doc, ids in zip(some["doc_id"].to_pylist(), encode(texts)):
+                places = ([(x,) for x in some["place"].to_pylist()]) if carried else [()] * len(texts)
+                for doc, at_place, ids in zip(some["doc_id"].to_pylist(), places, encode(texts)):
                     ids += end
                     for p, at in enumerate(range(0, len(ids), 4 * length)):
                         own = ids[at : at + 4 * length]
-                        out.append((doc, p, p * length, len(own) // 4, zlib.crc32(own)))
+                        out.append((doc, p, p * length, len(own) // 4, zlib.crc32(own), *at_place))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    rows = documents.select(*own, *([F.col(place).cast("long").alias("place")] if carried else []))
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", place long" * carried)
 
 
 def match(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, int, int, int, int, int]]:
@@ -155,9 +159,19 @@ def match(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, int,
     return found
 
 
+def _spread(table: DataFrame) -> Column:
+    """The places of ``table`` scaled to 64 bits, in their order as unsigned numbers."""
+    most = table.agg(F.max("place")).first()[0] or 0
+    return F.shiftleft("place", 64 - max(1, most.bit_length()))
+
+
 def pack(table: DataFrame, length: int = LENGTH) -> DataFrame:
     """Adds sequence_id and offset to a repeatable table of pieces (doc_id, piece, length and more).
 
+    Without a column place, pieces of a length are ranked by hash and sequences numbered as they are opened. With it (from 0, not null,
+    about dense), pieces of a length are ranked by place and sequences numbered by the place of the piece that opens them, so that the
+    order of the documents is that of the sequences; place does not come out.
+
     Ranks within a length are two-level (``common.ranked``), so a length may hold any share of the rows. What passes the
     driver is the histogram of lengths and the runs of placements, both bounded by the sequence length and checked.
     """
@@ -166,22 +180,30 @@ def pack(table: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = match(counts, length)
     if len(runs) > 64 * length:
         raise ValueError(f"{len(runs)} runs of placements for sequences of {length}")
-    spread = F.xxhash64("doc_id", "piece")
+    placing = "place" in table.columns
+    spread = _spread(table) if placing else F.xxhash64("doc_id", "piece")
     rows = ranked(table, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], spread, "__rank").drop("__rank_n")
     places = [(own, rank, rank + n, first, each, base) for own, rank, n, first, each, base in runs]
     placed = spark.createDataFrame(places, "length long, low long, high long, first long, each long, base long")
     j = rows.join(F.broadcast(placed), (rows["length"] == placed["length"]) & (F.col("__rank") >= F.col("low")) & (F.col("__rank") < F.col("high")))
     nth = F.col("__rank") - F.col("low")
-    return j.select(
+    packed = j.select(
         *[rows[c] for c in table.columns],
         F.expr("first + (__rank - low) div each").alias("sequence_id"),
         (F.col("base") + (nth % F.col("each")) * rows["length"]).alias("offset"),
     )
+    if not placing:
+        return packed
+    packed = materialize(packed, "packed")
+    openers = packed.filter("offset = 0").select("sequence_id", "place", "piece")
+    numbers = ranked(openers, [], [F.col("piece")], _spread(openers), "__number").select("sequence_id", "__number")
+    numbered = packed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("__number"))
+    return numbered.select(*[c for c in packed.columns if c != "place"])
 
 
-def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = LENGTH) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = LENGTH, place: str | None = None) -> DataFrame:
     """Every document's pieces and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null doc_ids and repeated rows are packed like any other; an empty table gives no rows.
+    ``place`` names the column whose order the sequences follow (see ``pack``). Null doc_ids and repeated rows are packed like any other; an empty table gives no rows.
     """
-    return pack(materialize(pieces(documents, tokenizer_path, end_id, length), "pieces"), length)
+    return pack(materialize(pieces(documents, tokenizer_path, end_id, length, place), "pieces"), length)

@@ -2,8 +2,10 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from leadtime.llm import mixing, quality, queries
+from leadtime.llm import common, mixing, quality, queries
 
 from ..conftest import SF
 from .test_operators import linked
@@ -38,6 +40,30 @@ def test_stages(spark):
     assert len(packed) <= -(-sum(packed.values()) // 2048) * 11 / 9 + 1
 
 
+def test_weights_reach_the_sequences(spark, monkeypatch):
+    """run() of the last two stages: other weights give other rows, and sequences follow the mixture."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {}
+    for name, weights in (("own", queries.TARGET_WEIGHTS), ("other", {"src9": 9, "src8": 5})):
+        monkeypatch.setattr(corpus_pipeline, "TARGET_WEIGHTS", weights)
+        rows[name] = corpus_pipeline.run(spark, SF).collect()
+        place = {r["doc_id"]: r["place"] for r in mixing.mixed(source, weights).collect()}
+        opens = sorted((r["sequence_id"], place[r["doc_id"]], r["piece"]) for r in rows[name] if r["offset"] == 0)
+        assert [s for s, *_ in opens] == list(range(len(opens))) and [o[1:] for o in opens] == sorted(o[1:] for o in opens)
+    places = {name: {(r["doc_id"], r["piece"]): (r["sequence_id"], r["offset"]) for r in got} for name, got in rows.items()}
+    assert set(places["own"]) == set(places["other"]) and places["own"] != places["other"]
+    assert len({s for s, _ in places["own"].values()}) == len({s for s, _ in places["other"].values()})
+
+
+def test_row_order_of_many_files(spark, tmp_path):
+    """Files of very unequal sizes, which a scan takes largest first."""
+    frame = spark.range(0, 3000, 1, 7).selectExpr("id", "repeat('x', cast(id as int)) AS t").orderBy(F.col("id").desc())
+    frame.write.parquet(f"file://{tmp_path}/t")
+    for got in (spark.read.parquet(f"file://{tmp_path}/t"), frame):
+        assert common.in_row_order(got).filter("place <> 2999 - id").isEmpty()
+
+
 def test_registered():
     import __spark_entry__ as entry
 
