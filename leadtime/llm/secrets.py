@@ -7,15 +7,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates: words of 16 or more letters, digits and underscores that hold a digit or are upper case, or what is assigned, from 8 on.
+#: Characters of context on each side of a candidate.
+NEAR = 48
+#: Candidates: what is assigned, from 8 on, whole, after [=:], as many spaces as the context shows and a quote; or words of 16 or more
+#: letters, digits and underscores that hold a digit or are upper case.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_])(?:(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+|[A-Z0-9]{16,}+(?![A-Za-z0-9_])|(?<=[=:][\"']?)[A-Za-z0-9_+/\-]{8,}+)"
+    r"(?<![A-Za-z0-9_])(?:(?=[A-Za-z0-9_+/\-]{8})(?<=[=:][ \t]{0,%d}[\"']?)[A-Za-z0-9_+/\-]{8,}+|(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+|[A-Z0-9]{16,}+(?![A-Za-z0-9_]))" % NEAR
 )
 MASK = "[SECRET]"
-NEAR = 48
 #: Words before a value that name a secret.
 KEYWORDS = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer)"
-FEATURES = ("length", "digits", "upper", "switches", "common_pairs", "dictionary", "path", "keyword", "assigned", "word_before", "word_after", "distinct")
+#: Changes between lower and upper case.
+CASES = r"(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"
+FEATURES = ("length", "digits", "upper", "switches", "common_pairs", "dictionary", "path", "keyword", "assigned", "word_before", "word_after", "distinct", "case_switches")
 
 
 def _share(count: str, of: str) -> str:
@@ -69,26 +73,27 @@ def _features(language: Language) -> str:
         _share(f"size(filter(sequence(1, greatest(length({v}) - 1, 1)), i -> array_contains(array({_quoted(language.pairs)}), substr({low}, i, 2))))", f"length({v}) - 1"),
         _share(f"length({v}) - length(regexp_replace({low}, r'{words}', ''))", f"length({v})"),
         "cast(c.before rlike r'[/\\\\@.]$' or c.after rlike r'^(?:[/\\\\@]|\\.[A-Za-z])' as int) * 1d",
-        f"cast(c.before rlike r'{KEYWORDS}[^A-Za-z0-9]{{0,8}}$' as int) * 1d",
-        "cast(c.before rlike r'[=:][ \"\\']{0,3}$' as int) * 1d",
+        f"cast(c.before rlike r'{KEYWORDS}[^A-Za-z0-9]*$' as int) * 1d",
+        "cast(c.before rlike r'[=:][ \\t\\x22\\x27]*$' as int) * 1d",
         f"cast(array_contains(array({_quoted(language.words)}), lower(regexp_extract(c.before, r'(\\p{{L}}+)[^\\p{{L}}]*$', 1))) as int) * 1d",
         f"cast(array_contains(array({_quoted(language.words)}), lower(regexp_extract(c.after, r'^[^\\p{{L}}]*(\\p{{L}}+)', 1))) as int) * 1d",
         _share(f"size(array_distinct(split({v}, '')))", f"length({v})"),
+        _share(f"regexp_count({v}, r'{CASES}')", f"length({v}) - 1"),
     ]
-    return "array(" + ", ".join(p.replace("r'[=:][ \"\\']{0,3}$'", "r\"[=:][ '\\x22]{0,3}$\"") for p in parts) + ")"
+    return "array(" + ", ".join(parts) + ")"
 
 
 def with_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``__pieces``, the text between candidates, and ``__found``: array of (start, value, before, after) in text order.
 
-    ``start`` counts code points from 0. Null text has no candidates. Nothing is exploded: rows stay rows.
+    ``start`` counts code points from 0; ``before`` reaches into the candidate before, which may be the name of what is assigned. Null text has no candidates. Nothing is exploded: rows stay rows.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = rows.withColumn("__values", F.regexp_extract_all(t, F.lit(CANDIDATE), 0))
     rows = rows.withColumn("__pieces", F.when(F.size("__values") > 0, F.split(t, CANDIDATE, -1)))
     starts = "aggregate(sequence(1, size(__values)), named_struct('at', 0L, 'o', cast(array() as array<bigint>)), (s, i) -> named_struct('at', s.at + length(__pieces[i - 1]) + length(__values[i - 1]), 'o', concat(s.o, array(s.at + length(__pieces[i - 1]))))).o"
     rows = rows.withColumn("__starts", F.when(F.size("__values") > 0, F.expr(starts)))
-    found = f"transform(__values, (v, i) -> named_struct('start', __starts[i], 'value', v, 'before', right(__pieces[i], {NEAR}), 'after', left(__pieces[i + 1], {NEAR})))"
+    found = f"transform(__values, (v, i) -> named_struct('start', __starts[i], 'value', v, 'before', right(concat(if(i > 0, __values[i - 1], ''), __pieces[i]), {NEAR}), 'after', left(__pieces[i + 1], {NEAR})))"
     empty = "cast(array() as array<struct<start: bigint, value: string, before: string, after: string>>)"
     return rows.withColumn("__found", F.expr(f"if(size(__values) > 0, {found}, {empty})")).drop("__values", "__starts")
 
@@ -102,12 +107,13 @@ def scored(rows: DataFrame, forest: Forest) -> DataFrame:
 
 
 def rule_label(value: Column, before: Column, after: Column) -> Column:
-    """Labels of findings that need no model: 1 for known forms and named assignments of mixed values, 0 for numbers, words and parts of paths or addresses, null where unsure."""
-    mixed = value.rlike(r"[0-9]") & value.rlike(r"[A-Za-z]")
+    """Labels of findings that need no model: 1 for known forms and named assignments of mixed values, 0 for numbers, words and parts of paths or addresses, null where unsure. Mixed are letters with digits, or without if the case changes at two of five letters."""
+    cased = F.regexp_count(value, F.lit(CASES)) * 5 >= (F.length(value) - 1) * 2
+    mixed = value.rlike(r"[A-Za-z]") & (value.rlike(r"[0-9]") | cased)
     return (
         F.when(value.rlike(r"^AKIA[A-Z0-9]{16}$"), 1)
-        .when(before.rlike(KEYWORDS + r"[\"']?\s{0,2}[=:]\s{0,2}[\"']?$") & mixed & (F.length(value) >= 12), 1)
-        .when(value.rlike(r"^[0-9_]+$") | ~value.rlike(r"[0-9]"), 0)
+        .when(before.rlike(KEYWORDS + r"[\"']?\s*[=:]\s*[\"']?$") & mixed & (F.length(value) >= 12), 1)
+        .when(value.rlike(r"^[0-9_]+$") | ~value.rlike(r"[0-9]") & ~cased, 0)
         .when(before.rlike(r"[/\\@.]$") | after.rlike(r"^[/\\@]"), 0)
     )
 
@@ -151,11 +157,16 @@ def train(findings: DataFrame, language: Language, trees: int = 24, depth: int =
     return Forest(tuple(_compiled(t.toDebugString) for t in fitted.trees), language)
 
 
+def _exploded(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and each candidate as f. Not by explode: the optimizer then tests the array in a filter of its own, which splits the text anew for every candidate."""
+    return rows.select(*columns, F.explode_outer("__found").alias("f")).filter("f IS NOT NULL")
+
+
 def learn(documents: DataFrame, labelled: DataFrame | None = None, **settings) -> Forest:
     """Forest from ``labelled`` findings, or else from the findings of ``documents`` that ``rule_label`` is sure of."""
     language = learn_language(documents)
     if labelled is None:
-        found = with_candidates(documents.select("text")).select(F.explode("__found").alias("f")).select("f.value", "f.before", "f.after")
+        found = _exploded(with_candidates(documents.select("text"))).select("f.value", "f.before", "f.after")
         labelled = found.withColumn("label", rule_label(F.col("value"), F.col("before"), F.col("after")))
     return train(labelled, language, **settings)
 
@@ -166,7 +177,7 @@ def scan(documents: DataFrame, forest: Forest, cut: float = 0.5) -> DataFrame:
     Documents without candidates, null and empty texts give no rows; repeated rows give repeated findings. A
     map stage: no shuffle, no Python.
     """
-    rows = scored(with_candidates(documents.select("doc_id", "text")), forest).select("doc_id", F.explode("__found").alias("f"))
+    rows = _exploded(scored(with_candidates(documents.select("doc_id", "text")), forest), "doc_id")
     return rows.select(
         "doc_id", F.col("f.start").alias("start"), F.length("f.value").cast("long").alias("length"), F.sha2("f.value", 256).alias("value_sha256"),
         F.round("f.score", 6).alias("score"), (F.col("f.score") >= cut).alias("is_secret"),

@@ -285,6 +285,31 @@ def test_secrets(spark):
     assert secrets.learn(df.filter("false")).trees == ()
 
 
+def test_secrets_in_spaced_assignments(spark):
+    rng = random.Random(10)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHJKLMNPQRabcdefghijkmn23456789+/"]
+    texts = []
+    for i in range(240):  # what the forest learns from, with words assigned alike
+        value = rng.choice(["x", "z"]) + "".join(rng.choice(alphabets[i % 3]) for _ in range(25)) if i % 2 else rng.choice(WORDS) + rng.choice(WORDS)
+        texts.append(f"{prose(rng, 20)} {rng.choice(['password', 'api_key', 'token', 'note', 'title'] if i % 2 == 0 else ['password', 'api_key', 'token'])} {'=:'[i % 4 // 2]} {value} {prose(rng, 10)}")
+    lines = [
+        ('password = "', "hunter2xyz9"), ("password: ", "hunter2xyz9"), ("secret: ", "9f8a-7b6c-5d4e-3f2a"), ('aws_secret_access_key = "', "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+        ('token = "', "AbCdEfGhIjKlMnOpQrStUvWx"), ("env: password =      ", "9f8a7b6c5d4e3f2a9f8a"), ("api_key\t:\t'", "abcdefabcdef0123456/QRSTUVw2"),
+    ]
+    ids = range(1000, 1000 + len(lines))
+    forest = secrets.learn(frame(spark, texts))
+    df = frame(spark, [f"{prose(rng, 8)} {lead}{value}" for lead, value in lines], ids)
+    found = {(r["doc_id"], r["value_sha256"]): r["is_secret"] for r in secrets.scan(df, forest).collect()}
+    for i, (_, value) in zip(ids, lines):
+        assert found.get((i, hashlib.sha256(value.encode()).hexdigest())), value
+    masked = {r["doc_id"]: r["text"] for r in secrets.redacted(df, forest).collect()}
+    assert all(masked[i].endswith(lead + secrets.MASK) for i, (lead, _) in zip(ids, lines))
+    plain = frame(spark, [f"{prose(rng, 8)} title: {rng.choice(WORDS)}{rng.choice(WORDS)} {prose(rng, 8)}" for _ in range(20)])
+    assert not any(r["is_secret"] for r in secrets.scan(plain, forest).collect())
+    plan = secrets.scan(df, forest)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "split(" in line for line in plan.splitlines())
+
+
 def labelled(seed, n):
     rng = random.Random(seed)
     rows = []
