@@ -15,7 +15,7 @@ from .common import materialize
 from .labelled import held_out, sampled
 from .shingles import _P, _power_table, chunks, mix, text_bytes, word_spans
 
-#: Words of a window, and from one window's start to the next: every word lies in two windows, or in one of a short text.
+#: Words of a window, and from one window's start to the next in training; texts are scored at every start.
 WINDOW, STRIDE = 32, 16
 GRAMS = (3, 4, 5)
 WIDTH, HIDDEN = 12, 8
@@ -69,13 +69,13 @@ def read_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     return Words(own, grams[order], np.searchsorted(owners[order], np.arange(len(own) + 1))), which, at
 
 
-def windows_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, words, text) of every window of every text; windows overlap by WINDOW - STRIDE and cover all words."""
+def windows_of(at: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, text) of every window of every text; windows overlap by WINDOW - stride and cover all words."""
     n = np.diff(at)
-    count = np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > 0).astype(np.int64))
+    count = np.where(n > WINDOW, -(-(n - WINDOW) // stride) + 1, (n > 0).astype(np.int64))
     text = np.repeat(np.arange(len(n)), count)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    first = np.where(n[text] > WINDOW, np.minimum(nth * STRIDE, n[text] - WINDOW), 0)
+    first = np.where(n[text] > WINDOW, np.minimum(nth * stride, n[text] - WINDOW), 0)
     return at[:-1][text] + first, np.minimum(n[text], WINDOW), text
 
 
@@ -112,9 +112,9 @@ class Network:
             x[has] += np.add.reduceat(self.p["gram"][gram], at[has], axis=0) / np.sqrt(n[has, None])
         return x
 
-    def logits(self, w: Words, which: np.ndarray, at: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    def logits(self, w: Words, which: np.ndarray, at: np.ndarray, block: int = 4096, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
         """(logit, text) of every window."""
-        first, size, text = windows_of(at)
+        first, size, text = windows_of(at, stride)
         x = self.inputs(*self.rows(w)) if len(w.hashes) else np.zeros((0, WIDTH), np.float32)
         gates = [np.concatenate([x @ self.p["W" + k] + self.p["b" + k], np.zeros((1, 3 * HIDDEN), np.float32)]) for k in "fb"]
         out = np.zeros(len(first), np.float32)
@@ -141,11 +141,11 @@ class Network:
         return out, text
 
     def text_logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The largest logit of each text's windows."""
+        """The largest logit of all windows of each text, one at every start."""
         w, which, at = read_words(raw, offsets)
         best = np.full(len(offsets) - 1, NO_WORDS, np.float32)
         if len(which):
-            logit, text = self.logits(w, which, at)
+            logit, text = self.logits(w, which, at, stride=1)
             np.maximum.at(best, text, logit)
         return best
 

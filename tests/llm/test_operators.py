@@ -362,6 +362,19 @@ def test_windows_cover_every_word():
     assert seen == set(range(200)) and set(text.tolist()) == {1, 2, 3, 4} and (size <= toxicity.WINDOW).all()
 
 
+def test_texts_are_scored_at_every_start():
+    rng, draw = np.random.default_rng(2), random.Random(2)
+    texts = [prose(draw, n) for n in (1, 31, 32, 33, 40, 75, 200)]
+    w = toxicity.read_words(*shingles.text_bytes(pa.array(texts)))[0]
+    grams = np.unique(w.grams)
+    net = toxicity.Network(w.hashes, grams, {k: rng.normal(size=s).astype(np.float32) for k, s in toxicity._shapes(len(w.hashes), len(grams)).items()})
+    got = net.text_logits(*shingles.text_bytes(pa.array(texts)))
+    for text, best in zip(texts, got):
+        words = text.split(" ")
+        windows = [" ".join(words[i : i + 32]) for i in range(max(1, len(words) - 31))]
+        assert best == pytest.approx(net.text_logits(*shingles.text_bytes(pa.array(windows))).max(), abs=1e-4)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 24)) * rng.uniform(0.5, 1.5, size=(1500, 1))
