@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -18,10 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a notebook) gets a temporary folder of its own.
+    Only a session in one process (tests, a notebook) without that setting gets a temporary folder of its own; on a cluster it is an error, since
+    executors would each write to their own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="leadtime-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -48,7 +52,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/leadtime/{label}-{uuid.uuid4().hex}"
     with arrow_rows(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def drop(table: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``table``, once nothing that is still to run reads it."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    """``df`` if it is a plain scan of files, else a scan of what it holds now, for those who read it more than once."""
+    return df if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" else materialize(df, "rows")
 
 
 def in_row_order(df: DataFrame, out: str = "place") -> DataFrame:
@@ -57,8 +74,7 @@ def in_row_order(df: DataFrame, out: str = "place") -> DataFrame:
     A scan takes files in an order of its own, but a written table keeps its order: part files by number, rows by index. A frame that
     is not a plain scan is written first. What is broadcast is a row count for each file.
     """
-    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        df = materialize(df, "ordered")
+    df = scanned(df)
     rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     part = F.regexp_extract("__file", r"part-(\d+)[^/]*$", 1).try_cast("long")
     before = Window.orderBy(part, "__file").rowsBetween(Window.unboundedPreceding, -1)

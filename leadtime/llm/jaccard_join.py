@@ -1,16 +1,20 @@
 """N-gram Jaccard join: documents linked by the likeness of their shingle sets, as a blocked sparse product.
 
 The documents' sets are the rows of a sparse incidence matrix, n-grams its columns; the overlaps wanted are entries
-of its product with its transpose. Three facts bound the work, none of them loses a link.
+of its product with its transpose. These facts bound the work, none of them loses a link.
 
 * Equal sets are one row (class), whatever the number of copies.
 * Two sets of sizes n <= m with likeness t or more overlap in at least c = t (n + m) / (1 + t) n-grams. In any common order of
   the n-grams they then meet among the first n - ceil(t n) + 1 of each, so the product is first taken over those
   leading columns only. The order puts the n-grams found often in some part of the corpus last (a statistic of all texts that only
-  steers the work), so a passage that many documents share is no leading column of theirs. Pairs whose size or remaining
-  columns cannot reach c are discarded while the counts accumulate.
-* Only components are asked for. Members of long columns are first paired with their nearest neighbours in size; what is then in one component
-  needs no more pairs, and only pairs across components are taken from it afterwards.
+  steers the work), so a passage that many documents share is no leading column of theirs. Pairs whose summed overlap cannot reach c
+  any more are discarded.
+* A column of more than SHORT members gives no pairs but a star: each member with the column's first. Marked columns, the only ones
+  that can hold a large share of all rows, are not even gathered: each of their members goes with a node that stands for the
+  column. So candidates grow with the incidence, never with the square of a group.
+* Candidate pairs and stars fall into connected groups. A group's whole sets travel once, as compressed texts, into one block, and the product
+  is taken over all columns of the block; a pair links by its full overlap, and pairs already connected are not counted again. A group of
+  more than BLOCK n-grams is cut in tiles, and each pair of tiles is a block.
 
 Sets are of 64-bit hashes; a chance meeting of two n-grams is the one source of error (2**-64 a pair).
 """
@@ -22,20 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 from .components import connected_components
 from .shingles import WIDTH, shingle_sets
 
-#: Members of a column up to which all its pairs are taken at once.
+#: Members of a column up to which all its pairs are taken.
 SHORT = 64
-#: Neighbours in size that a member of a longer column is paired with at first.
-NEAREST = 12
 #: Most n-grams marked as frequent; the most frequent ones of all that are.
 MARKED = 1 << 19
-#: N-grams of a verification block, about 8 bytes each in memory.
+#: N-grams of a block, about 100 bytes each in a worker while they are multiplied.
 BLOCK = 1_500_000
 
 
@@ -95,166 +98,114 @@ class _Order:
         self.near = np.zeros(1 << 20, bool)
         self.near[(self.marked >> np.uint64(44)).astype(np.int64)] = True
 
-    def leading(self, s: np.ndarray, k: int) -> np.ndarray:
-        """The first k of a sorted set."""
+    def leading(self, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first k of a sorted set, those not marked and those that are."""
         maybe = np.flatnonzero(self.near[(s >> np.uint64(44)).astype(np.int64)])
         if len(maybe) and len(self.marked):
             at = np.minimum(np.searchsorted(self.marked, s[maybe]), len(self.marked) - 1)
             last = np.zeros(len(s), bool)
             last[maybe] = self.marked[at] == s[maybe]
             rest = s[~last]
-            return rest[:k] if len(rest) >= k else np.concatenate([rest, s[last][: k - len(rest)]])
-        return s[:k]
+            return rest[:k], s[last][: max(0, k - len(rest))]
+        return s[:k], s[:0]
 
 
 def _incidence(documents: DataFrame, marked: np.ndarray, percent: int, width: int) -> DataFrame:
-    """Leading columns of every distinct set of a task: gram, sid, n, place."""
+    """Leading columns of every distinct set of a task: gram, sid, n; for marked ones n is 0 and gram the column's own node, a negative number."""
     sent = documents.sparkSession.sparkContext.broadcast(marked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = _Order(sent.value), set()
         for batch in batches:
-            grams, sids, ns, places = [], [], [], []
+            grams, sids, ns = [], [], []
             for s in shingle_sets(batch["text"], width):
                 n, sid = len(s), set_id(s)
                 if not n or sid in seen:
                     continue
                 seen.add(sid)
-                own = order.leading(s, _leading(n, percent))
-                grams.append(own)
-                sids.append(np.full(len(own), sid, np.int64))
-                ns.append(np.full(len(own), n, np.int32))
-                places.append(np.arange(len(own), dtype=np.int32))
+                own, common = order.leading(s, _leading(n, percent))
+                grams += [own.view(np.int64), -1 - (common >> np.uint64(1)).view(np.int64)]
+                sids.append(np.full(len(own) + len(common), sid, np.int64))
+                ns += [np.full(len(own), n, np.int32), np.zeros(len(common), np.int32)]
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(places))], ["gram", "sid", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(ns))], ["gram", "sid", "n"])
 
-    return documents.select("text").mapInArrow(run, "gram long, sid long, n int, place int")
+    return documents.select("text").mapInArrow(run, "gram long, sid long, n int")
 
 
-def _meetings(gram, n, percent: int, reach: int, place=None, part=None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sorted incidence rows at most ``reach`` apart that share a column and whose sizes allow a link.
-
-    With ``place`` and ``part`` only pairs of different parts whose columns from here on can still reach the overlap needed.
-    """
-    found_a, found_b = [], []
+def _met(gram: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows sorted by column that share a column of at most SHORT members and whose sizes allow a link."""
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     live = np.arange(len(gram))
-    for step in range(1, reach + 1):
+    for step in range(1, SHORT + 1):
         live = live[live + step < len(gram)]
         live = live[gram[live] == gram[live + step]]
         if not len(live):
             break
         i, j = live, live + step
-        need = _needed(n[i].astype(np.int64), n[j].astype(np.int64), percent)
-        can = np.minimum(n[i], n[j]) >= need
-        if part is not None:
-            can &= (part[i] != part[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
+        can = np.minimum(n[i], n[j]) >= _needed(n[i].astype(np.int64), n[j].astype(np.int64), percent)
         found_a.append(i[can])
         found_b.append(j[can])
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *found_a]), np.concatenate([empty, *found_b])
+    return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _read_all(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held) if held else None
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, the smaller id first, and how often each is there."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, np.int64)
+    return low[new], high[new], np.diff(np.concatenate([new, [len(low)]]))
 
 
 def _column_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     """The product over leading columns, a block of columns in each task.
 
-    Kind 0 are pairs (a, b) with their sizes and the overlap counted in this block's short columns; kind 1 are the rows of the
-    columns too long to take all pairs from.
+    Rows are pairs (a, b) with their sizes and the overlap counted in this block's short columns; overlap 0 marks the edge of a
+    long column's star, whose ends are to meet whatever else is counted.
     """
-    names = ["kind", "a", "b", "n", "m", "overlap"]
+    names = ["a", "b", "n", "m", "overlap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _read_all(batches)
-        if table is None:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        gram, sid, n, place = (table[c].to_numpy() for c in ("gram", "sid", "n", "place"))
+        table = pa.Table.from_batches(held)
+        gram, sid, n = (table[c].to_numpy() for c in ("gram", "sid", "n"))
+        center, member = gram[n == 0], sid[n == 0]
+        gram, sid, n = gram[n > 0], sid[n > 0], n[n > 0]
         order = np.lexsort((sid, n, gram))
-        gram, sid, n, place = gram[order], sid[order], n[order], place[order]
-        keep = np.concatenate([[True], (gram[1:] != gram[:-1]) | (sid[1:] != sid[:-1])])
-        gram, sid, n, place = gram[keep], sid[keep], n[keep], place[keep]
-        first = np.concatenate([[True], gram[1:] != gram[:-1]])
-        group = np.cumsum(first) - 1
-        size = np.bincount(group)[group]
-        some = size > 1
-        gram, sid, n, place, size = gram[some], sid[some], n[some], place[some], size[some]
-        long = size > SHORT
-        i, j = _meetings(gram[~long], n[~long], percent, SHORT)
-        s, k = sid[~long], n[~long]
-        flip = s[i] > s[j]
-        i, j = np.where(flip, j, i), np.where(flip, i, j)
-        order = np.lexsort((s[j], s[i]))
-        i, j = i[order], j[order]
-        new = np.flatnonzero(np.concatenate([[True], (s[i[1:]] != s[i[:-1]]) | (s[j[1:]] != s[j[:-1]])])) if len(i) else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate([new, [len(i)]]))
-        i, j = i[new], j[new]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), np.int32)), pa.array(s[i]), pa.array(s[j]), pa.array(k[i]), pa.array(k[j]), pa.array(count.astype(np.int32))], names)
-        if long.any():
-            one = np.ones(int(long.sum()), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(gram[long]), pa.array(sid[long]), pa.array(n[long]), pa.array(place[long]), pa.array(one)], names)
-
-    return rows.repartition(parts, "gram").mapInArrow(run, "kind int, a long, b long, n int, m int, overlap int")
-
-
-def _candidates(met: DataFrame, long: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (a, b) whose overlap, summed over all column blocks, can still reach what their sizes need.
-
-    Common n-grams are leading in both sets, and then counted unless their column is long, or lie beyond the
+        gram, sid, n = gram[order], sid[order], n[order]
+        keep = np.concatenate([[True], (gram[1:] != gram[:-1]) | (sid[1:] != sid[:-1])])[: len(gram)]
+        gram, sid, n = gram[keep], sid[keep], n[keep]
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)])
+        size = np.diff(np.concatenate([first, [len(gram)]]))
+        lead, of = np.repeat(first, size), np.repeat(size, size)
+        some = (of > 1) & (of <= SHORT)
+        g, s, k = gram[some], sid[some], n[some]
+        i, j = _met(g, k, percent)
+        a, b, count = _counted(s[i], s[j])
+        ids, at = np.unique(s, return_index=True)
+        sizes = k[at]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sizes[np.searchsorted(ids, a)]), pa.array(sizes[np.searchsorted(ids, b)]), pa.array(count.astype(np.int32))], names)
+        star = np.flatnonzero((of > SHORT) & (lead != np.arange(len(gram))))
+        a, b, _ = _counted(np.concatenate([sid[star], member]), np.concatenate([sid[lead[star]], center]))
+        none = np.zeros(len(a), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(none), pa.array(none), pa.array(none)], names)
+
+    return rows.repartition(parts, F.when(F.col("n") > 0, F.col("gram")).otherwise(F.col("sid"))).mapInArrow(run, "a long, b long, n int, m int, overlap int")
+
+
+def _candidates(met: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b): all stars, and the pairs whose overlap, summed over all column blocks, can still reach what their sizes need.
+
+    Common n-grams are leading in both sets, and then counted (or a star holds both), or lie beyond the
     leading ones of the set whose leading ones end first: at most n - leading(n) of them.
     """
-    pairs = met.filter("kind = 0").groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("overlap").alias("overlap"))
-    if long is not None:
-        columns = long.groupBy("sid").agg(F.count(F.lit(1)).alias("c"))
-        pairs = pairs.join(columns.select(F.col("sid").alias("a"), F.col("c").alias("ca")), "a", "left").join(columns.select(F.col("sid").alias("b"), F.col("c").alias("cb")), "b", "left")
-        pairs = pairs.withColumn("overlap", F.col("overlap") + F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0))))
+    pairs = met.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("overlap").alias("overlap"), F.min("overlap").alias("least"))
     beyond = lambda c: f"(({percent} * {c} + 99) div 100 - 1)"
-    return pairs.filter(F.expr(f"overlap + greatest({beyond('n')}, {beyond('m')}) >= ({percent} * (n + m) + {99 + percent}) div {100 + percent}")).select("a", "b")
-
-
-def _seeds(long: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs (a, b) of nearest neighbours in size, of each member in its first and last long column only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _read_all(batches)
-        if table is None:
-            return
-        gram, sid, n = (table[c].to_numpy() for c in ("gram", "sid", "n"))
-        order = np.lexsort((sid, n, gram))
-        gram, sid, n = gram[order], sid[order], n[order]
-        i, j = _meetings(gram, n, percent, NEAREST)
-        both = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
-
-    homes = long.groupBy("sid").agg(F.array_distinct(F.array(F.min("gram"), F.max("gram"))).alias("g"), F.max("n").alias("n"))
-    return homes.select(F.explode("g").alias("gram"), "sid", "n").repartition(parts, "gram").mapInArrow(run, "a long, b long")
-
-
-def _across(long: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs (a, b) of long columns whose ends are in different components; ``long``: gram, sid, n, place, part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _read_all(batches)
-        if table is None:
-            return
-        cols = [table[c].to_numpy() for c in ("gram", "sid", "n", "place", "part")]
-        order = np.lexsort((cols[1], cols[2], cols[0]))
-        gram, sid, n, place, part = (c[order] for c in cols)
-        edge = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1], [True]]))
-        for lo, hi in zip(edge[:-1], edge[1:]):
-            own = slice(lo, hi)
-            if (part[own] == part[lo]).all():
-                continue
-            i, j = _meetings(gram[own], n[own], percent, hi - lo, place[own], part[own])
-            s = sid[own]
-            both = np.unique(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j])], 1), axis=0)
-            for at in range(0, len(both), 100_000):
-                some = both[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], ["a", "b"])
-
-    return long.repartition(parts, "gram").mapInArrow(run, "a long, b long")
+    reach = f"overlap + greatest({beyond('n')}, {beyond('m')}) >= ({percent} * (n + m) + {99 + percent}) div {100 + percent}"
+    return pairs.filter(F.expr(f"least = 0 or {reach}")).select("a", "b")
 
 
 def _marked_ids(ids: DataFrame, bits: int) -> np.ndarray:
@@ -277,91 +228,142 @@ def _marked_ids(ids: DataFrame, bits: int) -> np.ndarray:
     return np.packbits(flat, axis=None)
 
 
-def _involved(documents: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(sid, n, grams) of every set in ``pairs``, once each, and of few others.
+def _involved(documents: DataFrame, ids: DataFrame, n_ids: int, width: int) -> DataFrame:
+    """(sid, packed) of the sets whose ids are in ``ids`` (s), once each, and of few others; packed is a text that has the set.
 
     A bit filter, 16 bits an id and 2**28 bits (32 MB) at most, picks them while the texts are read; beyond that size more
     sets pass than are needed, and none is lost.
     """
-    ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    bits = min(28, max(16, (16 * ends.count()).bit_length()))
-    sent = documents.sparkSession.sparkContext.broadcast(_marked_ids(ends, bits))
+    bits = min(28, max(16, (16 * n_ids).bit_length()))
+    sent = documents.sparkSession.sparkContext.broadcast(_marked_ids(ids, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, part_bits = sent.value, set(), bits - 4
+        held, seen, part_bits, pack = sent.value, set(), bits - 4, zstandard.ZstdCompressor(level=3, write_checksum=False)
         for batch in batches:
-            sids, ns, grams = [], [], []
-            for s in shingle_sets(batch["text"], width):
+            sids, packed, texts = [], [], batch["text"]
+            for at, s in enumerate(shingle_sets(texts, width)):
                 sid = set_id(s)
                 bit = ((sid & 15) << part_bits) | ((sid >> 4) & ((1 << part_bits) - 1))
                 if len(s) and (int(held[bit >> 3]) >> (7 - (bit & 7))) & 1 and sid not in seen:
                     seen.add(sid)
                     sids.append(sid)
-                    ns.append(len(s))
-                    grams.append(s.tobytes())
+                    packed.append(pack.compress(texts[at].as_py().encode()))
             if sids:
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(grams, pa.binary())], ["sid", "n", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(packed, pa.binary())], ["sid", "packed"])
 
-    return documents.select("text").mapInArrow(run, "sid long, n long, grams binary").dropDuplicates(["sid"])
+    return documents.select("text").mapInArrow(run, "sid long, packed binary").dropDuplicates(["sid"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """A spanning forest (a, b) of the candidate pairs that are links, counted exactly on whole sets.
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common members of two sorted sets."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.searchsorted(long, short)
+    at[at == len(long)] = 0
+    return int((long[at] == short).sum())
 
-    Pairs meet under the smallest neighbour of either end, so a group of near copies shares one block of rows; a group of
-    more than BLOCK n-grams is cut in tiles. Within a block pairs already connected are not counted again.
-    """
-    ends = pairs.select(F.col("a").alias("s"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("s"), F.col("a").alias("o")))
-    lead = ends.groupBy("s").agg(F.least(F.min("o"), F.col("s")).alias("lead"))
-    keyed = (
-        pairs.join(lead.select(F.col("s").alias("a"), F.col("lead").alias("la")), "a")
-        .join(lead.select(F.col("s").alias("b"), F.col("lead").alias("lb")), "b")
-        .select("a", "b", F.least("la", "lb").alias("key"))
-    )
-    keyed = materialize(keyed, "pairs")
-    each = keyed.select("key", F.col("a").alias("sid")).unionByName(keyed.select("key", F.col("b").alias("sid"))).distinct()
-    tiles = each.join(sets.select("sid", "n"), "sid").groupBy("key").agg(F.sum("n").alias("t")).select("key", F.expr(f"t div {BLOCK} + 1").alias("tiles"))
-    tiled = keyed.join(tiles, "key")
-    x, y = F.pmod(F.xxhash64("a"), F.col("tiles")), F.pmod(F.xxhash64("b"), F.col("tiles"))
-    tiled = materialize(tiled.select("a", "b", F.xxhash64("key", F.least(x, y), F.greatest(x, y)).alias("block")), "tiles")
-    rows = tiled.select("block", F.col("a").alias("sid")).unionByName(tiled.select("block", F.col("b").alias("sid"))).distinct().join(sets.select("sid", "grams"), "sid")
-    work = (
-        rows.select("block", F.lit(0).alias("kind"), F.col("sid").alias("a"), F.lit(0).cast("long").alias("b"), "grams")
-        .unionByName(tiled.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("grams")))
-        .repartition(parts, "block")
-        .sortWithinPartitions("block", "kind", "a", "b")
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, root = None, {}, {}
+class _Block:
+    """The whole sets of a block, of one tile or of two, and which of them are connected so far."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], tiles: list[int], percent: int) -> None:
+        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+        self.ids, self.sets, self.percent = [ids[i] for i in order], [sets[i] for i in order], percent
+        self.tile = np.array([tiles[i] for i in order])
+        self.n = np.array([len(s) for s in self.sets], np.int64)
+        self.label = np.arange(len(ids))
+        self.links: list[tuple[int, int]] = []
+
+    def linked(self, i: int, j: int) -> None:
+        self.links.append((min(self.ids[i], self.ids[j]), max(self.ids[i], self.ids[j])))
+
+    def neighbours(self) -> None:
+        """Links to the next set by least n-gram, by greatest and by size: near copies are mostly connected after it."""
+        lows, highs = np.array([s[0] for s in self.sets]), np.array([s[-1] for s in self.sets])
+        every, root = np.arange(len(self.ids)), list(range(len(self.ids)))
 
         def top(v: int) -> int:
             while root[v] != v:
                 root[v] = v = root[root[v]]
             return v
 
+        for order in (np.lexsort((every, lows)), np.lexsort((every, highs)), every):
+            for i, j in zip(order[:-1].tolist(), order[1:].tolist()):
+                n, m = len(self.sets[i]), len(self.sets[j])
+                if 100 * min(n, m) >= self.percent * max(n, m) and (p := top(i)) != (q := top(j)):
+                    both = _overlap(self.sets[i], self.sets[j])
+                    if 100 * both >= self.percent * (n + m - both):
+                        root[max(p, q)] = min(p, q)
+                        self.linked(i, j)
+        self.label = np.array([top(i) for i in range(len(root))])
+
+    def product(self) -> None:
+        """Overlaps of every set outside the largest connected part with all sets not connected with it, by accumulating over all columns."""
+        cross = len(np.unique(self.tile)) > 1
+        outside = np.flatnonzero(self.tile == self.tile[0] if cross else self.label != np.bincount(self.label).argmax())
+        if not len(outside):
+            return
+        grams, row = np.concatenate(self.sets), np.repeat(np.arange(len(self.ids), dtype=np.int32), self.n)
+        order = np.argsort(grams, kind="stable")
+        grams, row = grams[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        size = np.diff(np.concatenate([first, [len(grams)]]))
+        column = np.empty(len(grams), np.int64)
+        column[order] = np.repeat(np.arange(len(first)), size)
+        begin = np.concatenate([[0], np.cumsum(self.n)])
+        for i in outside.tolist():
+            cols = column[begin[i] : begin[i + 1]]
+            cols = cols[size[cols] > 1]
+            if not len(cols):
+                continue
+            start, width = first[cols], size[cols]
+            at = np.repeat(start - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+            both = np.bincount(row[at], minlength=len(self.ids))
+            hit = 100 * both >= self.percent * (self.n + self.n[i] - both)
+            hit &= self.label != self.label[i]
+            if cross:
+                hit &= self.tile != self.tile[i]
+            for j in np.flatnonzero(hit).tolist():
+                p, q = self.label[i], self.label[j]
+                if p != q:
+                    self.label[self.label == max(p, q)] = min(p, q)
+                    self.linked(i, j)
+
+
+def _linked(groups: DataFrame, texts: DataFrame, percent: int, width: int, parts: int) -> DataFrame:
+    """A spanning forest (a, b) of the links within each group; ``groups``: sid, group, n."""
+    tiles = groups.groupBy("group").agg(F.expr(f"sum(n) div {BLOCK} + 1").alias("tiles"))
+    placed = groups.join(tiles, "group").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    placed = placed.select("sid", "tile", F.xxhash64("group", F.least("tile", "other"), F.greatest("tile", "other")).alias("block"))
+    work = placed.join(texts, "sid").repartition(parts, "block").sortWithinPartitions("block", "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, held, block = zstandard.ZstdDecompressor(), ([], [], []), None
+
+        def done() -> list[tuple[int, int]]:
+            if len(held[0]) < 2:
+                return []
+            b = _Block(*held, percent)
+            if len(np.unique(b.tile)) == 1:
+                b.neighbours()
+            b.product()
+            return b.links
+
         for batch in batches:
             found = []
-            for blk, kind, a, b, grams in zip(*(batch[c].to_pylist() for c in ("block", "kind", "a", "b")), batch["grams"]):
-                if blk != block:
-                    block, held, root = blk, {}, {}
-                if not kind:
-                    held[a] = np.frombuffer(grams.as_py(), np.uint64)
-                    root[a] = a
-                    continue
-                p, q = top(a), top(b)
-                if p == q:
-                    continue
-                short, long = sorted((held[a], held[b]), key=len)
-                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-                both = int((long[at] == short).sum())
-                if 100 * both >= percent * (len(short) + len(long) - both):
-                    root[max(p, q)] = min(p, q)
-                    found.append((min(a, b), max(a, b)))
+            texts = pa.array([unpack.decompress(x).decode() for x in batch["packed"].to_pylist()], pa.large_string())
+            for own, sid, tile, s in zip(batch["block"].to_pylist(), batch["sid"].to_pylist(), batch["tile"].to_pylist(), shingle_sets(texts, width)):
+                if own != block:
+                    found += done()
+                    block, held = own, ([], [], [])
+                for to, x in zip(held, (sid, s, tile)):
+                    to.append(x)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+        if found := done():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    return work.mapInArrow(run, "a long, b long")
+    return work.select("block", "sid", "tile", "packed").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(documents: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
@@ -384,19 +386,15 @@ def jaccard_components(documents: DataFrame, percent: int = 80, width: int = WID
     # a task holds its block of columns whole: about a million rows of 24 bytes
     column_parts = max(parts, total * (100 - percent) // 100 // 1_000_000 + 1)
     met = materialize(_column_blocks(_incidence(docs, marked, percent, width), percent, column_parts), "meetings")
-    long = met.filter("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("sid"), "n", F.col("m").alias("place"))
-    some_long = not long.isEmpty()
-    pairs = _candidates(met, long if some_long else None, percent)
-    pairs = materialize(pairs.unionByName(_seeds(long, percent, parts)).distinct() if some_long else pairs, "pairs")
-    links = materialize(_linked(pairs, materialize(_involved(docs, pairs, width), "involved"), percent, parts), "links")
-    if some_long:
-        known = connected_components(links)
-        labelled = long.join(known, long["sid"] == known["node"], "left").select("gram", "sid", "n", "place", F.coalesce("root", "sid").alias("part"))
-        more = materialize(_across(labelled, percent, parts).distinct(), "pairs").join(pairs, ["a", "b"], "left_anti")
-        more = materialize(more, "pairs")
-        if not more.isEmpty():
-            more_links = _linked(more, materialize(_involved(docs, more, width), "involved"), percent, parts)
-            links = materialize(links.unionByName(more_links), "links")
+    edges = materialize(_candidates(met, percent), "candidates")
+    drop(met)
+    groups = connected_components(edges).select(F.col("node").alias("s"), F.col("root").alias("group"))
+    sizes = rows.filter("n > 0").groupBy("sid").agg(F.max("n").alias("n"))
+    groups = materialize(sizes.join(groups, sizes["sid"] == groups["s"]).select("sid", "group", "n"), "groups")
+    drop(edges)
+    texts = _involved(docs, groups.select(F.col("sid").alias("s")), groups.count(), width)
+    links = materialize(_linked(groups, texts, percent, width, parts), "links")
+    drop(groups)
     roots = materialize(connected_components(links), "roots")
     classes = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     joined = materialize(classes.join(roots, classes["sid"] == roots["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root")), "classes")

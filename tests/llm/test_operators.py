@@ -81,10 +81,10 @@ def test_shingles_equal_brute_force():
     assert list(shingles.shingle_sets(pa.array([], pa.string()))) == []
 
 
-@pytest.mark.parametrize("short", [64, 3])
-def test_jaccard_components(spark, monkeypatch, short):
-    monkeypatch.setattr(jaccard_join, "SHORT", short)  # 3: most columns are long ones
-    monkeypatch.setattr(jaccard_join, "NEAREST", 1 if short == 3 else 8)
+@pytest.mark.parametrize("short, block", [(64, 1_500_000), (3, 1_500_000), (3, 40), (64, 90)])
+def test_jaccard_components(spark, monkeypatch, short, block):
+    monkeypatch.setattr(jaccard_join, "SHORT", short)  # 3: most columns are long or marked ones
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)  # 40: groups fall into many tiles
     texts = corpus()
     ids = [900 - 3 * i for i in range(len(texts))]
     ids[70:73] = [None, None, ids[5]]
@@ -103,12 +103,14 @@ def test_jaccard_edges(spark):
     assert sorted(r["doc_id"] for r in jaccard_join.one_of_each(doubled).collect()) == [1, 3]
 
 
-def test_components_both_ways(spark):
+@pytest.mark.parametrize("chunk", [components.CHUNK, 7])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
     rng = random.Random(4)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7), (None, 3)]
-    df = spark.createDataFrame(edges, "a long, b long")
-    one = dict(map(tuple, components.connected_components(df).collect()))
-    many = dict(map(tuple, components.connected_components(df, one_task=0).collect()))
+    edges += [(5000, x) for x in range(4000, 4300)] + [(2000 - i, 2001 + i) for i in range(30)] + [(2000 - i, 2002 + i) for i in range(30)]  # a hub, and a long path
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = components.connected_components(df).collect()
     root = {}
 
     def top(v):
@@ -121,7 +123,8 @@ def test_components_both_ways(spark):
         if a is not None:
             a, b = top(a), top(b)
             root[max(a, b)] = min(a, b)
-    assert one == many == {v: top(v) for v in root}
+    assert len(got) == len(root) and dict(map(tuple, got)) == {v: top(v) for v in root}
+    assert components.connected_components(df.filter('false')).count() == 0
 
 
 def test_fingerprints(spark):
