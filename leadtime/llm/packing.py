@@ -13,16 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ranked
+from .shingles import chunks, text_bytes
 
 LENGTH = 2048
-#: Most strings whose ids a worker remembers, about 200 bytes each; beyond it starts anew.
-REMEMBERED = 300_000
-#: Texts whose strings are held at a time.
-TEXTS = 400
+#: Strings whose ids a worker remembers in each of two generations, about 250 bytes each, and the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
+#: Bytes of text cut in words at a time.
+CHUNK = 6 << 20
 
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ſ"
 #: What the tokenizer's own splitting does within ASCII and the Latin letters that have one normal form each.
@@ -30,55 +32,119 @@ _PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\r\f\v
 _OTHER = re.compile(r"[^\x00-\x7fÀ-ſ]|<\|")
 
 
-def encoder(tokenizer_path: str, split_latin: bool):
-    """texts -> little-endian ids of each, by a tokenizer that drops spaces and never joins across them.
+def splits_latin(tokenizer_path: str) -> bool:
+    """Whether the tokenizer normalises by NFC, white space and lower case, splits as ``_PARTS`` does and then maps bytes to characters, by its file."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        held = json.load(file)
+    kinds = [x["type"] for x in (held.get("normalizer") or {}).get("normalizers", [])]
+    steps = (held.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    split = steps[0].get("pattern", {}).get("Regex")
+    bytewise = [x["type"] for x in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space")
+    return kinds == ["NFC", "Replace", "Lowercase"] and split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and bytewise
 
-    Texts are cut at U+0020 and U+000A; with ``split_latin``, for a tokenizer that lower-cases and splits as ``_PARTS`` does, a text
-    of ASCII and Latin letters is cut finer. Each distinct string is tokenised once per worker.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[str, bytes] = {"": b""}
+def _byte_letters() -> dict[int, int]:
+    """The character of each byte in byte-level vocabularies: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
-    def cut(text: str) -> list[str]:
-        if split_latin and not _OTHER.search(text):
-            return _PARTS.findall(text.lower())
-        return text.replace("\n", " ").split(" ")
 
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        words = [cut(t) for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        new = list({w for own in words for w in own if w not in known})
-        if new:
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                ids = array("I", e.ids)
-                known[w] = ids.tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
-        for own in words:
-            yield b"".join([known[w] for w in own])
+class Remembered:
+    """Ids by string: those of the present generation and of the one before."""
 
-    return encode
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.new[key] = found
+        return found
 
-def splits_latin(tokenizer_path: str) -> bool:
-    """Whether the tokenizer normalises by NFC, white space and lower case and splits as ``_PARTS`` does, by its file."""
-    with open(tokenizer_path, encoding="utf-8") as file:
-        held = json.load(file)
-    kinds = [x["type"] for x in (held.get("normalizer") or {}).get("normalizers", [])]
-    split = (held.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
-    return kinds == ["NFC", "Replace", "Lowercase"] and split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    def put(self, key: str, ids: bytes) -> None:
+        if len(key) <= LONGEST:
+            self.new[key] = ids
+
+    def age(self) -> None:
+        if len(self.new) > REMEMBERED:
+            self.new, self.old = {}, self.new
 
 
-_encoders: dict = {}
+def _bytes(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder != "little":
+        found.byteswap()
+    return found.tobytes()
 
 
-def _workers_own(tokenizer_path: str):
+class Encoder:
+    """Ids of texts, by a tokenizer that drops spaces and line feeds and never joins across them.
+
+    Texts are cut in words by Arrow; each distinct word of a chunk is looked up, or tokenised if it is new, and the
+    ids of all words are taken by their places, without Python work for a word's further occurrences. If the tokenizer lower-cases and
+    splits as ``_PARTS`` does, new words of ASCII and Latin letters are cut in parts, which go to the tokenizer's model alone. What is
+    remembered is bounded by REMEMBERED and LONGEST.
+    """
+
+    def __init__(self, tokenizer_path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.words, self.parts = Remembered(), Remembered()
+        self.model = self.tokenizer.model if splits_latin(tokenizer_path) else None
+        self.letters = _byte_letters()
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            plain = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+            found = _bytes([t.id for t in self.model.tokenize(plain)])
+            self.parts.put(part, found)
+        return found
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Little-endian ids of distinct words."""
+        self.words.age()
+        self.parts.age()
+        found, whole = list(map(self.words.new.get, words)), []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            w = words[i]
+            found[i] = x = self.words.get(w)
+            if x is None:
+                if self.model is None or _OTHER.search(w):
+                    whole.append(i)
+                else:
+                    found[i] = x = b"".join(map(self._part, _PARTS.findall(w.lower())))
+                    self.words.put(w, x)
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast([words[i] for i in whole], add_special_tokens=False)):
+            found[i] = _bytes(e.ids)
+            self.words.put(words[i], found[i])
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (large_string without nulls) back to back, and len+1 offsets of each text's."""
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        held = self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        begin = np.concatenate([[0], np.cumsum(size)])
+        which = words.indices.to_numpy()
+        ids = pa.LargeListArray.from_arrays(begin, pa.array(np.frombuffer(b"".join(held), "<u4").astype(np.uint32, copy=False)))
+        ends = np.concatenate([[0], np.cumsum(size[which])])
+        at = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        return ids.take(words.indices).flatten().to_numpy().astype("<u4", copy=False), ends[at]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _workers_own(tokenizer_path: str) -> Encoder:
     """This worker's encoder, kept from task to task."""
     if tokenizer_path not in _encoders:
-        _encoders[tokenizer_path] = encoder(tokenizer_path, splits_latin(tokenizer_path))
+        _encoders[tokenizer_path] = Encoder(tokenizer_path)
     return _encoders[tokenizer_path]
 
 
@@ -93,19 +159,21 @@ def pieces(documents: DataFrame, tokenizer_path: str, end_id: int = 0, length: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["place"] * carried
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.int64()] * carried
-        encode, end = _workers_own(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = _workers_own(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            out = []
-            for some in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):
-                texts = some["text"].fill_null("").to_pylist()
-                places = ([(x,) for x in some["place"].to_pylist()]) if carried else [()] * len(texts)
-                for doc, at_place, ids in zip(some["doc_id"].to_pylist(), places, encode(texts)):
-                    ids += end
-                    for p, at in enumerate(range(0, len(ids), 4 * length)):
-                        own = ids[at : at + 4 * length]
-                        out.append((doc, p, p * length, len(own) // 4, zlib.crc32(own), *at_place))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+            texts = batch["text"].cast(pa.large_string()).fill_null("")
+            for lo, hi in chunks(text_bytes(texts)[1], CHUNK):
+                out, some = [], batch.slice(lo, hi - lo)
+                places = ([(x,) for x in some["place"].to_pylist()]) if carried else [()] * (hi - lo)
+                ids, at = encoder.encode(texts.slice(lo, hi - lo))
+                for doc, at_place, first, last in zip(some["doc_id"].to_pylist(), places, at[:-1].tolist(), at[1:].tolist()):
+                    own, n = memoryview(ids[first:last]).cast("B"), last - first + 1
+                    for p, begin in enumerate(range(0, n, length)):
+                        part = own[4 * begin : 4 * (begin + length)]
+                        crc = zlib.crc32(part)
+                        out.append((doc, p, begin, min(length, n - begin), zlib.crc32(end, crc) if begin + length >= n else crc, *at_place))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     rows = documents.select(*own, *([F.col(place).cast("long").alias("place")] if carried else []))
