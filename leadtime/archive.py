@@ -6,11 +6,15 @@ import hashlib
 import json
 import logging
 import os
+import shutil
+import time
 from collections.abc import Callable, Iterable, Mapping
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +55,9 @@ class Archive:
         self.registry = Registry(metric_budget)
         self.lock_timeout = lock_timeout
         self.commits = CommitLog(self.root)
+        self.commits.digests = self._digests
+        self._verified: set[str] = set()
+        self._held: list[DataFrame] = []
         if not self.root.exists():
             self.root.mkdir(parents=True)
         elif not (self.root / "store.json").exists() and any(p.name != ".lock" for p in self.root.iterdir()):
@@ -71,6 +78,11 @@ class Archive:
         paths = [f"file://{self.commits.path(kind, s.token)}" for s in found]
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def _digests(self, path: Path) -> dict[str, str]:
+        """Digests of the parts of a folder by name, hashed on the executors."""
+        rows = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"file://{path}").select("path", F.sha2("content", 256).alias("sha"))
+        return {r["path"].rsplit("/", 1)[1]: r["sha"] for r in rows.collect()}
+
     def _runs(self, snapshot: Snapshot) -> DataFrame:
         runs = self._scan(snapshot, "runs", RUNS)
         return runs.join(self._scan(snapshot, "superseded", "run_id string"), "run_id", "left_anti") if snapshot.of("superseded") else runs
@@ -84,10 +96,7 @@ class Archive:
         return self._scan(snapshot, "actuals", T.ACTUALS)
 
     def _officials(self, snapshot: Snapshot) -> DataFrame:
-        found = snapshot.of("officials")
-        if not found:
-            return self.spark.createDataFrame([], T.OFFICIALS).withColumn("commit_seq", F.lit(0))
-        return reduce(DataFrame.unionByName, [self.spark.read.schema(T.OFFICIALS).parquet(f"file://{self.commits.path('officials', s.token)}").withColumn("commit_seq", F.lit(s.version)) for s in found])
+        return self._scan(snapshot, "officials", T.DESIGNATIONS)
 
     def _write(self, kind: str, rows: DataFrame, order: tuple[str, ...] = ()) -> tuple[str, str]:
         """A segment that nothing sees before its commit; sorted parts let later scans skip row groups."""
@@ -108,7 +117,7 @@ class Archive:
         """
         if on_conflict not in ("error", "overwrite"):
             raise ValidationError(f"on_conflict {on_conflict!r}")
-        rows = N.canonical_forecasts(N.as_frame(self.spark, frame), mapping, model_id=model_id, model_version=model_version, origin=origin)
+        rows = N.canonical_forecasts(N.as_frame(self.spark, frame, N.time_columns(mapping)), mapping, model_id=model_id, model_version=model_version, origin=origin)
         keys = ["model_id", "model_version", "origin", "series_id"]
         with self._lock():
             base = self.commits.snapshot()
@@ -141,7 +150,7 @@ class Archive:
 
     def ingest_cross_validation(self, frame, *, model_id: str, model_version: str, value_column: str | None = None, on_conflict: str = "error") -> IngestResult:
         """``ingest`` of a frame with unique_id, ds, cutoff and a column of forecasts."""
-        frame = N.as_frame(self.spark, frame)
+        frame = N.as_frame(self.spark, frame, ("ds", "cutoff"))
         return self.ingest(frame, cross_validation_mapping(frame, model_id, value_column), model_id=model_id, model_version=model_version, on_conflict=on_conflict)
 
     def register_actuals(self, frame, mapping: Mapping[str, str] | None = None, *, source: str | None = None, official: bool = False, recorded_at=None) -> int:
@@ -150,7 +159,7 @@ class Archive:
         What the log has already is skipped, under the same identity with another value it is an error. ``official`` also
         designates the values, unless a target has another official value already, which is an OfficialConflictError.
         """
-        batch = N.canonical_actuals(N.as_frame(self.spark, frame), mapping, source=source, recorded_at=recorded_at, official=official)
+        batch = N.canonical_actuals(N.as_frame(self.spark, frame, N.time_columns(mapping)), mapping, source=source, recorded_at=recorded_at, official=official)
         with self._lock():
             base = self.commits.snapshot()
             old = self._actuals(base)
@@ -166,13 +175,14 @@ class Archive:
                     odd = named.filter("status = 'conflict'").count()
                     if odd:
                         raise OfficialConflictError(f"{odd} targets have another official value")
-                pending = self._pending_audit(A.conflicts(old.unionByName(fresh), self.priority))
+                touched = old.unionByName(fresh).join(batch.select(*A.KEY).distinct(), A.KEY, "left_semi")
+                pending = self._pending_audit(A.conflicts(touched, self.priority))
                 if pending:
                     self._audit_writable()
                 if counts.get("new"):
                     segments.append(self._write("actuals", fresh))
                 if named is not None and not named.filter("status = 'new'").isEmpty():
-                    rows = named.filter("status = 'new'").select(*A.IDENTITY).withColumn("designated_at", F.lit(datetime.now()).cast("timestamp_ntz"))
+                    rows = named.filter("status = 'new'").select(*A.IDENTITY).withColumns({"designated_at": F.lit(datetime.now()).cast("timestamp_ntz"), "commit_seq": F.lit(base.version + 1).cast("long")})
                     segments.append(self._write("officials", rows))
                 if segments:
                     self.commits.append(base, segments)
@@ -189,19 +199,21 @@ class Archive:
         known = None if recorded_at is None else N.wall_time(recorded_at, "recorded_at")
         with self._lock():
             base = self.commits.snapshot()
-            rows = A.locate(self._actuals(base), series, when, source, known).limit(100).collect()
-            if not rows:
+            r = A.designated(self._actuals(base), series, when, source, known).first()
+            if r is None:
                 raise ValidationError("no such actual")
-            if len({r["actual_value"] for r in rows}) > 1:
+            if r["low"] != r["high"]:
                 raise ValidationError("the newest recordings differ; name the source")
-            r = min(rows, key=lambda r: r["source"])
-            one = self.spark.createDataFrame([(series, when, r["source"], r["actual_recorded_at"], datetime.now())], T.OFFICIALS)
+            one = self.spark.createDataFrame([(series, when, r["source"], r["actual_recorded_at"], datetime.now(), base.version + 1)], T.DESIGNATIONS)
             self.commits.append(base, [self._write("officials", one)])
         self._refresh()
 
     def _pending_audit(self, found: DataFrame) -> list[str]:
         """Audit lines of ambiguous targets that are not written yet."""
-        seen = set(json.loads(p.read_text())) if (p := self.root / "audit-seen.json").exists() else set()
+        try:
+            seen = set(json.loads(p.read_text())) if (p := self.root / "audit-seen.json").exists() else set()
+        except (OSError, ValueError, TypeError) as e:
+            raise AuditLogError("audit-seen.json cannot be read") from e
         lines = (f"ambiguous-latest series={r['series_id']} target={r['target'].isoformat()} recorded_at={r['recorded_at'].isoformat()} sources={list(r['sources'])} values={list(r['values'])}" for r in found.toLocalIterator())
         return sorted(x for x in lines if x not in seen)
 
@@ -223,7 +235,13 @@ class Archive:
 
     def champions(self) -> dict[str, str]:
         path = self.root / "champions.json"
-        return json.loads(path.read_text()) if path.exists() else {}
+        try:
+            held = json.loads(path.read_text()) if path.exists() else {}
+        except (OSError, ValueError) as e:
+            raise StoreFormatError("champions.json cannot be read") from e
+        if not isinstance(held, dict) or not all(isinstance(v, str) for v in held.values()):
+            raise StoreFormatError("champions.json holds no versions by model")
+        return held
 
     def set_champion(self, model_id: str, model_version: str) -> None:
         """The version that others of the model are compared with; the last call wins."""
@@ -242,7 +260,12 @@ class Archive:
     def _token(self, snapshot: Snapshot) -> str:
         return hashlib.sha256(json.dumps([snapshot.head, self.registry.token(), list(self.priority)]).encode()).hexdigest()
 
+    def _release(self) -> None:
+        while self._held:
+            self._held.pop().unpersist()
+
     def _fresh_summary(self, snapshot: Snapshot) -> DataFrame:
+        self._release()
         forecasts, parts = self._forecasts(snapshot), []
         for basis in ("latest", "official"):
             if basis == "official" and not snapshot.of("officials") or not snapshot.of("actuals"):
@@ -263,34 +286,64 @@ class Archive:
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], T.SUMMARY)
 
     def _custom(self, matched: DataFrame, keys, name: str) -> DataFrame:
-        """Evaluate once, keep, and set the metric aside if it hung anywhere."""
+        """Evaluate once, keep until the next summary or question with a custom metric, and set the metric aside if it hung anywhere."""
         cells = custom(matched, keys, self.registry.get(name), self.registry.budget).cache()
+        self._held.append(cells)
         if not cells.filter("status = 'timeout'").isEmpty():
             self.registry.quarantined.add(name)
         return cells
 
     def rebuild_summary(self, tries: int = 3) -> bool:
-        """Recompute the summary and publish it if the store has not moved on meanwhile."""
+        """Recompute the summary, in order of its keys, and publish it if the store has not moved on meanwhile; what is not published goes again."""
         for _ in range(tries):
             snapshot = self.commits.snapshot()
             token, path = self.commits.new("summary")
-            self._fresh_summary(snapshot).coalesce(8).write.parquet(f"file://{path}")
-            with self._lock():
-                if self.commits.snapshot(probe=False).head == snapshot.head:
-                    pointer = {"state": self._token(snapshot), "data": token, "files": self.commits.fingerprint(path)}
-                    write_json(self.root / "summary.json", json.dumps(pointer))
-                    return True
+            published = False
+            try:
+                self._fresh_summary(snapshot).repartitionByRange(8, *S.ORDER).sortWithinPartitions(*S.ORDER).write.parquet(f"file://{path}")
+                with self._lock():
+                    if self.commits.snapshot(probe=False).head == snapshot.head and self.commits.complete(path):  # else another writer published this state
+                        pointer = {"state": self._token(snapshot), "data": token, "files": self.commits.fingerprint(path)}
+                        write_json(self.root / "summary.json", json.dumps(pointer))
+                        published = True
+                        self._sweep(token)
+                        return True
+            finally:
+                self._release()
+                if not published and self._published() != token:
+                    shutil.rmtree(path, ignore_errors=True)
         return False
 
+    def _published(self) -> str | None:
+        """The generation that the pointer names."""
+        try:
+            return json.loads((self.root / "summary.json").read_text())["data"]
+        except (OSError, ValueError, KeyError, TypeError):
+            return None
+
+    def _sweep(self, token: str) -> None:
+        """Remove other generations: the one published before, and what crashed writers left a day ago. A reader that loses its generation reads raw rows."""
+        for path in self.commits.path("summary", token).parent.iterdir():
+            try:
+                if path.name != token and (self.commits.complete(path) or time.time() - path.stat().st_mtime > 86_400):
+                    shutil.rmtree(path, ignore_errors=True)
+            except OSError:  # another writer was faster
+                continue
+
     def _stored_summary(self, snapshot: Snapshot) -> DataFrame | None:
-        """The published summary if it is of this state and its parts are whole, else None."""
+        """The published summary if it is of this state and its parts are whole, else None. A handle hashes the parts of a generation once, as long as their sizes and times stay."""
         try:
             held = json.loads((self.root / "summary.json").read_text())
             path = self.commits.path("summary", held["data"])
-            if held["state"] != self._token(snapshot) or self.commits.fingerprint(path).keys() != held["files"].keys():
-                return None
-            if any(self.commits.fingerprint(path)[n][::2] != f[::2] for n, f in held["files"].items()):
+            stats = self.commits.stats(path)
+            if held["state"] != self._token(snapshot) or stats.keys() != held["files"].keys():
                 return None
+            key = json.dumps([held["data"], held["files"], stats], sort_keys=True)
+            if key not in self._verified:
+                found = self.commits.fingerprint(path)
+                if any(found[n][::2] != f[::2] for n, f in held["files"].items()):
+                    return None
+                self._verified = {key}
             return self.spark.read.schema(T.SUMMARY).parquet(f"file://{path}")
         except (OSError, ValueError, KeyError, TypeError, StoreFormatError):
             return None
@@ -327,6 +380,7 @@ class Archive:
         if metric in BUILT_IN:
             return E.curve(self._forecasts(snapshot), actuals, metric, basis, scope, keys)
         self.registry.get(metric)
+        self._release()
         pairs = E.align(scope.apply(self._forecasts(snapshot)), actuals)
         counts = E.accuracy(pairs, keys, [])
         if metric in self.registry.quarantined:
@@ -343,37 +397,49 @@ class Archive:
         self.registry.get(metric)
         scope = Scope.of(model_id, model_version, series=series, horizons=wanted, period=period)
         snapshot = self.commits.snapshot()
-        served: dict[int, AccuracyResult] = {}
-        cell = model_id is not None and model_version is not None and fallback is None and period is None and (series is None or isinstance(series, str))
-        if cell and (stored := self._stored_summary(snapshot)) is not None:
-            rows = stored.filter((F.col("model_id") == model_id) & (F.col("model_version") == model_version) & (F.col("metric") == metric) & (F.col("actual_basis") == basis) & (F.col("period") == T.WHOLE_PERIOD) & (F.col("series_id") == (series or T.POOLED)))
-            for r in rows.collect():
-                missing = r["n_forecasts"] - r["n"]
-                served[r["horizon"]] = AccuracyResult(r["horizon"], metric, basis, "partial" if missing else "ok", r["value"], r["n"], missing, 0, "summary")
-        if wanted is None or any(h not in served for h in wanted):
-            for r in self._cells(snapshot, metric, basis, fallback, scope, ("horizon",)).collect():
+        served = self._served(snapshot, metric, basis, fallback, model_id, model_version, series, period)
+        order = wanted
+        if order is None and served:
+            order = sorted(r["horizon"] for r in E.horizons(self._forecasts(snapshot), scope).collect())
+        left = None if order is None else [h for h in dict.fromkeys(order) if h not in served]
+        if left is None or left:
+            rest = replace(scope, horizons=scope.horizons if left is None else tuple(left))
+            for r in self._cells(snapshot, metric, basis, fallback, rest, ("horizon",)).collect():
                 served.setdefault(r["horizon"], AccuracyResult(r["horizon"], metric, basis, r["status"], r["value"], r["n"], r["n_missing_actuals"], r["n_fallback"], "raw"))
-        order = sorted(served) if wanted is None else wanted
+        order = sorted(served) if order is None else order
         none = lambda h: AccuracyResult(h, metric, basis, "insufficient", None, 0, 0, 0, "raw")
-        return AccuracyCurve(tuple(served.get(h) or none(h) for h in order))
+        return AccuracyCurve(tuple(served.get(h) or none(h) for h in order), metric, basis)
+
+    def _served(self, snapshot: Snapshot, metric: str, basis: str, fallback: str | None, model_id, model_version, series, period) -> dict[int, AccuracyResult]:
+        """Points by horizon that the summary holds: of one model version, one series or all, the whole period, without fallback."""
+        if model_id is None or model_version is None or fallback is not None or period is not None or not (series is None or isinstance(series, str)):
+            return {}
+        stored, served = self._stored_summary(snapshot), {}
+        if stored is None:
+            return {}
+        cell = {"model_id": model_id, "model_version": model_version, "metric": metric, "actual_basis": basis, "period": T.WHOLE_PERIOD, "series_id": series or T.POOLED}
+        rows = stored.filter(reduce(lambda a, b: a & b, [F.col(k) == v for k, v in cell.items()]))
+        try:
+            found = rows.collect()
+        except PySparkException:  # swept meanwhile
+            return {}
+        for r in found:
+            missing = r["n_forecasts"] - r["n"]
+            served[r["horizon"]] = AccuracyResult(r["horizon"], metric, basis, "partial" if missing else "ok", r["value"], r["n"], missing, 0, "summary")
+        return served
 
     def accuracy_at_horizon(self, horizon, metric: str = "MAE", basis: str = "latest", fallback: str | None = None, **scope) -> AccuracyResult:
         """One point of the curve."""
         return self.accuracy_curve(metric, basis, fallback, horizons=[horizon_of(horizon)], **scope).points[0]
 
     def compare_curve(self, models, metric: str = "MAE", basis: str = "latest", fallback: str | None = None, *, horizons=None, champion=None, series=None, period=None) -> DataFrame:
-        """Listed models by horizon, in their order, with the difference to each one's champion."""
+        """A row for each listed model at each horizon, in their order, with the difference to its champion; any registered metric."""
         pairs = model_list(models)
         wanted = None if horizons is None else horizon_list(horizons)
         best = self._champions(champion)
-        scope = Scope.of(series=series, horizons=wanted, period=period)
-        snapshot = self.commits.snapshot()
-        if metric in BUILT_IN:
-            found = E.compare(self._forecasts(snapshot), self._effective(snapshot, basis, fallback), pairs, best, metric, basis, scope)
-        else:
-            raise ValidationError("comparison takes built-in metrics; ask for a custom one by accuracy_curve")
-        place = F.create_map(*[F.lit(x) for i, (m, v) in enumerate(dict.fromkeys(pairs)) for x in (f"{m}\x00{v}", i)])
-        return found.orderBy("horizon", place[F.concat_ws("\x00", "model_id", "model_version")])
+        scope = Scope.of(models=E.wanted_models(pairs, best), series=series, horizons=wanted, period=period)
+        cells = self._cells(self.commits.snapshot(), metric, basis, fallback, scope, ("model_id", "model_version", "horizon"))
+        return E.compared(cells, pairs, best, metric, basis, wanted).orderBy("position", "place").drop("position", "place")
 
     def compare_models(self, horizon, models, metric: str = "MAE", basis: str = "latest", fallback: str | None = None, *, champion=None, series=None, period=None) -> DataFrame:
         """``compare_curve`` at one horizon."""

@@ -25,13 +25,15 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
-def with_steps(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``step``: |actual - previous actual| along each trajectory within ``keys``.
+def with_steps(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``step``: |actual - previous actual| along each trajectory within ``keys``, of matched rows only and null on others.
 
-    The lag runs over the rows given, so filters on period, horizon and matching belong before it.
+    The lag runs over the rows given, so filters on period, horizon and matching belong before it. Rows without an actual are
+    another part of the window, so one pass over the pairs serves both.
     """
-    along = Window.partitionBy(*dict.fromkeys([*keys, *TRAJECTORY])).orderBy("target", "origin")
-    return matched.withColumn("step", F.abs(F.col("actual_value") - F.lag("actual_value", 1).over(along)))
+    matched = F.col("actual_value").isNotNull()
+    along = Window.partitionBy(*dict.fromkeys([*keys, *TRAJECTORY]), matched).orderBy("target", "origin")
+    return pairs.withColumn("step", F.when(matched, F.abs(F.col("actual_value") - F.lag("actual_value", 1).over(along))))
 
 
 def expression(metric: str) -> Column:

@@ -74,8 +74,8 @@ def effective(log: DataFrame, officials: DataFrame | None, basis: str = "latest"
 
 
 def against_log(batch: DataFrame, log: DataFrame) -> DataFrame:
-    """``batch`` with status new, seen or conflict by the log's row of the same identity."""
-    known = log.groupBy(*IDENTITY).agg(F.max("actual_value").alias("__known"))
+    """``batch`` with status new, seen or conflict by the log's row of the same identity; only the batch's targets are grouped."""
+    known = log.join(batch.select(*KEY).distinct(), KEY, "left_semi").groupBy(*IDENTITY).agg(F.max("actual_value").alias("__known"))
     status = F.when(F.col("__known").isNull(), "new").when(F.col("__known") == F.col("actual_value"), "seen").otherwise("conflict")
     return batch.join(known, IDENTITY, "left").withColumn("status", status).drop("__known")
 
@@ -96,3 +96,10 @@ def locate(log: DataFrame, series: str, target, source: str | None = None, recor
     if recorded_at is not None:
         rows = rows.filter(F.col("actual_recorded_at") == F.lit(recorded_at).cast("timestamp_ntz"))
     return newest(rows).dropDuplicates(["source", "actual_value"])
+
+
+def designated(log: DataFrame, series: str, target, source: str | None = None, recorded_at=None) -> DataFrame:
+    """At most one row of what ``locate`` finds: low and high of its values, the first source and the recording's time."""
+    rows = locate(log, series, target, source, recorded_at)
+    found = rows.agg(F.count(F.lit(1)).alias("k"), F.min("actual_value").alias("low"), F.max("actual_value").alias("high"), F.min("source").alias("source"), F.max("actual_recorded_at").alias("actual_recorded_at"))
+    return found.filter("k > 0").drop("k")

@@ -27,10 +27,7 @@ def accuracy(pairs: DataFrame, keys: Sequence[str], metrics: Sequence[str] = BUI
 
     Steps for MASE are taken along matched pairs only, in a window that the other metrics do without.
     """
-    rows = pairs
-    if "MASE" in metrics:
-        matched = with_steps(pairs.filter("actual_value is not null"), keys)
-        rows = matched.unionByName(pairs.filter("actual_value is null").withColumn("step", F.lit(None).cast("double")))
+    rows = with_steps(pairs, keys) if "MASE" in metrics else pairs
     fallback = F.count_if(F.col("is_fallback") & F.col("actual_value").isNotNull()) if "is_fallback" in pairs.columns else F.lit(0).cast("long")
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_forecasts"), F.count("actual_value").alias("n"), F.count_if(F.col("actual_value").isNull()).alias("n_missing_actuals"),
@@ -47,20 +44,38 @@ def curve(forecasts: DataFrame, actuals: DataFrame, metric: str = "MAE", basis:
     )
 
 
-def compare(forecasts: DataFrame, actuals: DataFrame, models: Sequence[tuple[str, str]], champions: Mapping[str, str], metric: str = "MAE", basis: str = "latest", scope: Scope = Scope()) -> DataFrame:
-    """Listed models by horizon with the difference to their champion, listed or not; null unless both have a value."""
-    wanted = list(dict.fromkeys([*models, *[(m, champions[m]) for m, _ in models if m in champions]]))
-    pick = Scope.of(models=wanted)
+def wanted_models(models: Sequence[tuple[str, str]], champions: Mapping[str, str]) -> list[tuple[str, str]]:
+    """The listed pairs and their champions, each once."""
+    return list(dict.fromkeys([*models, *[(m, champions[m]) for m, _ in models if m in champions]]))
+
+
+def compare(forecasts: DataFrame, actuals: DataFrame, models: Sequence[tuple[str, str]], champions: Mapping[str, str], metric: str = "MAE", basis: str = "latest", scope: Scope = Scope(), horizons: Sequence[int] | None = None) -> DataFrame:
+    """``compared`` of a built-in metric; ``horizons`` are those asked for, else those of the listed models in scope."""
+    pick = Scope.of(models=wanted_models(models, champions))
     cells = curve(pick.apply(forecasts), actuals, metric, basis, scope, ("model_id", "model_version", "horizon"))
-    champion = F.lit(None).cast("string")
-    for m, v in champions.items():
-        champion = F.when(F.col("model_id") == m, v).otherwise(champion)
-    cells = cells.withColumn("champion_version", champion)
-    best = cells.filter("model_version = champion_version").select("model_id", "horizon", F.col("value").alias("__best"))
-    listed = Scope.of(models=list(models)).condition()
-    return cells.filter(listed).join(best, ["model_id", "horizon"], "left").select(
-        "model_id", "model_version", "horizon", "metric", "basis", "status", "value", "n", "champion_version",
-        F.coalesce(F.col("model_version") == F.col("champion_version"), F.lit(False)).alias("is_champion"), (F.col("value") - F.col("__best")).alias("delta_vs_champion"),
+    return compared(cells, models, champions, metric, basis, horizons)
+
+
+def compared(cells: DataFrame, models: Sequence[tuple[str, str]], champions: Mapping[str, str], metric: str, basis: str, horizons: Sequence[int] | None = None) -> DataFrame:
+    """A row for every listed pair, as often as it is listed, at every horizon, with the difference to its champion, listed or not.
+
+    ``cells``: model_id, model_version, horizon, status, value, n of the pairs and their champions. A pair without forecasts at a horizon is
+    insufficient with n 0; the difference is null unless both have a value. The column place counts the pairs as listed, position the horizons.
+    """
+    if horizons is None:
+        at = cells.filter(Scope.of(models=models).condition()).select("horizon").distinct().withColumn("position", F.col("horizon"))
+    else:
+        at = cells.sparkSession.createDataFrame(list(enumerate(horizons)), "position long, horizon long")
+    text = lambda x: F.lit(x).cast("string")
+    listed = F.array(*[F.struct(F.lit(i).alias("place"), text(m).alias("model_id"), text(v).alias("model_version"), text(champions.get(m)).alias("champion_version")) for i, (m, v) in enumerate(models)])
+    rows = at.select("position", "horizon", F.inline(listed))
+    own = cells.select("model_id", "model_version", "horizon", "status", "value", "n")
+    best = cells.select("model_id", F.col("model_version").alias("champion_version"), "horizon", F.col("value").alias("__best"))
+    found = rows.join(own, ["model_id", "model_version", "horizon"], "left").join(best, ["model_id", "champion_version", "horizon"], "left")
+    return found.select(
+        "model_id", "model_version", "horizon", F.lit(metric).alias("metric"), F.lit(basis).alias("basis"), F.coalesce("status", F.lit("insufficient")).alias("status"), "value",
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"), "champion_version",
+        F.coalesce(F.col("model_version") == F.col("champion_version"), F.lit(False)).alias("is_champion"), (F.col("value") - F.col("__best")).alias("delta_vs_champion"), "place", "position",
     )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numbers
 from collections.abc import Mapping
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +17,16 @@ from ..schemas import DEFAULT_SOURCE, POOLED
 DAY_US = 86_400_000_000
 
 
-def as_frame(spark: SparkSession, frame) -> DataFrame:
-    """A Spark frame of a Spark or pandas frame. Zoned pandas times keep their wall time."""
+def _numbers(values) -> bool:
+    """Whether any value is a number; booleans are not."""
+    return bool(values.map(lambda v: isinstance(v, numbers.Real) and not isinstance(v, (bool, np.bool_)) and v == v).any())
+
+
+def as_frame(spark: SparkSession, frame, times: tuple[str, ...] = ()) -> DataFrame:
+    """A Spark frame of a Spark or pandas frame. Zoned pandas times keep their wall time.
+
+    ``times`` names the columns that are to hold times: numbers among their values are refused, also where the column's type hides them.
+    """
     if isinstance(frame, DataFrame):
         return frame
     fields = []
@@ -39,8 +49,8 @@ def as_frame(spark: SparkSession, frame) -> DataFrame:
                 frame[name] = values.map(lambda v: v.replace(tzinfo=None) if v is not None else None)
                 fields.append(T.StructField(str(name), T.TimestampNTZType()))
                 continue
-            if name not in ("series_id",) and values.map(lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)).any() and "date" in str(name):
-                raise ValidationError(f"{name} holds numbers, not times")
+            if name in times and _numbers(values):
+                raise ValidationError(f"{name} holds numeric values; times are needed")
             frame[name] = values.map(lambda v: None if v is None else str(v))
             fields.append(T.StructField(str(name), T.StringType()))
     return spark.createDataFrame(frame, T.StructType(fields))
@@ -85,6 +95,11 @@ def resolve(frame: DataFrame, mapping: Mapping[str, str] | None, fields: list[st
     return found
 
 
+def time_columns(mapping: Mapping[str, str] | None, fields: tuple[str, ...] = ("origin", "target")) -> tuple[str, ...]:
+    """The caller's columns of the time fields."""
+    return tuple((mapping or {}).get(f, f) for f in fields)
+
+
 def series_text(col: Column) -> Column:
     """Identifier as text without surrounding white space of any kind."""
     return F.regexp_replace(col.cast("string"), r"(?U)^\s+|\s+$", "")
@@ -103,7 +118,7 @@ def times(frame: DataFrame, column: str, field: str) -> Column:
     kind = frame.schema[column].dataType
     col = F.col(f"`{column}`")
     if isinstance(kind, (T.NumericType, T.BooleanType)):
-        raise ValidationError(f"{field}: numbers are no times")
+        raise ValidationError(f"{field}: numeric values are no times")
     if isinstance(kind, T.StringType):
         return F.coalesce(col.try_cast("timestamp_ntz"), F.try_to_timestamp(col, F.lit("yyyyMMdd")).cast("timestamp_ntz"))
     return col.cast("timestamp_ntz")

@@ -12,6 +12,8 @@ from ..schemas import POOLED, SUMMARY, WHOLE_PERIOD
 from .evaluate import align
 
 CELL = ["model_id", "model_version", "series_id", "horizon"]
+#: Order of the stored summary.
+ORDER = [*CELL, "metric", "period", "actual_basis"]
 
 
 def cube(forecasts: DataFrame, actuals: DataFrame, basis: str, metrics: Sequence[str] = BUILT_IN) -> DataFrame:
@@ -20,9 +22,7 @@ def cube(forecasts: DataFrame, actuals: DataFrame, basis: str, metrics: Sequence
     One lag pass serves both grains, since a trajectory lies within a series; one GROUPING SETS aggregate gives all
     metrics as columns, which are then stacked.
     """
-    pairs = align(forecasts, actuals)
-    matched = with_steps(pairs.filter("actual_value is not null"), CELL)
-    rows = matched.unionByName(pairs.filter("actual_value is null").withColumn("step", F.lit(None).cast("double")))
+    rows = with_steps(align(forecasts, actuals), CELL)
     cells = rows.groupingSets([["model_id", "model_version", "series_id", "horizon"], ["model_id", "model_version", "horizon"]], "model_id", "model_version", "series_id", "horizon").agg(
         F.grouping("series_id").alias("pooled"), F.count(F.lit(1)).alias("n_forecasts"), F.count("actual_value").alias("n"), *[expression(m).alias(m) for m in metrics]
     )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..archive import Archive
 from ..functions.metrics import BUILT_IN, Metric, custom
 from ..operators import actuals as A
 from ..operators import evaluate as E
@@ -125,10 +129,20 @@ SELECT model_id, model_version, horizon, 'MAE' AS metric, 'latest' AS basis, {_s
   coalesce(model_version = champion_version, false) AS is_champion, "MAE" - best AS delta_vs_champion FROM ch LEFT JOIN best USING (model_id, horizon) WHERE {listed}"""
 
 
+def _compare(x: Fixture, models, champions=X.CHAMPIONS, **scope) -> DataFrame:
+    return E.compare(x.forecasts, x.actuals(), models, champions, scope=Scope.of(**scope), horizons=scope.get("horizons")).drop("place", "position")
+
+
 _ALL = [("persist", "v1"), ("persist", "v2"), ("drift", "v1")]
-_add("compare_models_h", lambda x: E.compare(x.forecasts, x.actuals(), _ALL, X.CHAMPIONS, scope=Scope.of(horizons=[1])), _compare_sql("true", "v1", "horizon = 1"))
-_add("compare_curve", lambda x: E.compare(x.forecasts, x.actuals(), [("persist", "v2"), ("drift", "v1")], X.CHAMPIONS), _compare_sql("(model_id, model_version) IN (('persist', 'v2'), ('drift', 'v1'))", "v1"))
-_add("compare_champion_override", lambda x: E.compare(x.forecasts, x.actuals(), _ALL, X.CHAMPIONS | {"persist": "v2"}), _compare_sql("true", "v2"))
+_add("compare_models_h", lambda x: _compare(x, _ALL, horizons=[1]), _compare_sql("true", "v1", "horizon = 1"))
+_add("compare_curve", lambda x: _compare(x, [("persist", "v2"), ("drift", "v1")]), _compare_sql("(model_id, model_version) IN (('persist', 'v2'), ('drift', 'v1'))", "v1"))
+_add("compare_champion_override", lambda x: _compare(x, _ALL, X.CHAMPIONS | {"persist": "v2"}), _compare_sql("true", "v2"))
+_MISSING = """SELECT 'nobody' AS model_id, 'v1' AS model_version, CAST(h AS BIGINT) AS horizon, 'MAE' AS metric, 'latest' AS basis, 'insufficient' AS status, CAST(NULL AS DOUBLE) AS value,
+  CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS champion_version, false AS is_champion, CAST(NULL AS DOUBLE) AS delta_vs_champion"""
+_add(
+    "compare_missing_pair", lambda x: _compare(x, [("persist", "v2"), ("nobody", "v1"), ("persist", "v2")], horizons=[1, 7]),
+    f"WITH c AS ({_compare_sql(chr(39).join(['model_id = ', 'persist', ' AND model_version = ', 'v2', '']), 'v1', 'horizon IN (1, 7)')}) SELECT * FROM c UNION ALL SELECT * FROM c UNION ALL {_MISSING} FROM (VALUES (1), (7)) AS w(h)",
+)
 _add("as_of_cutoff", lambda x: E.as_of(x.forecasts, CUT), _with(f"SELECT * FROM fc WHERE {CUT_SQL}"))
 _add("as_of_scoped", lambda x: E.as_of(x.forecasts, CUT, **V1, series="5-LOW"), _with(f"SELECT * FROM fc WHERE {CUT_SQL} AND {V1_SQL} AND series_id = '5-LOW'"))
 _add("horizons_in_scope", lambda x: E.horizons(x.forecasts, Scope.of(**V1)), _with(f"SELECT DISTINCT horizon FROM fc WHERE {V1_SQL}"))
@@ -159,16 +173,94 @@ def _plan(x: Fixture) -> DataFrame:
 _add("plan_runs_status", _plan, _with("SELECT model_id, model_version, CASE WHEN model_version <> 'v1' THEN 'new' WHEN day(origin) = 3 THEN 'changed' ELSE 'same' END AS status, count(DISTINCT (origin, series_id)) AS runs, count(*) AS n_rows FROM fc GROUP BY 1, 2, 3"))
 
 
-def _superseded(x: Fixture) -> DataFrame:
-    """Runs of the third of a month are replaced by a second delivery; only live runs are seen."""
-    run = F.sha2(F.concat_ws("|", "model_id", "model_version", "series_id", F.col("origin").cast("string"), "d"), 256)
-    second = x.forecasts.filter(F.dayofmonth("origin") == 3).withColumns({"value": F.col("value") + 1.0, "d": F.lit("2")})
-    stored = x.forecasts.withColumn("d", F.lit("1")).unionByName(second).withColumn("run_id", run)
-    live = stored.filter("d = '2' or dayofmonth(origin) <> 3").select("run_id").distinct()
-    return stored.join(live, "run_id", "left_semi").drop("run_id", "d")
+CANONICAL = ["model_id", "model_version", "series_id", "origin", "target", "value", "horizon"]
+
+
+def _archive(spark: SparkSession) -> Archive:
+    """A new store in the shared folder, or in a temporary one where the session names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    root = shared.removeprefix("file://").removeprefix("file:") if shared else tempfile.mkdtemp(prefix="leadtime-")
+    return Archive(spark, os.path.join(root, "leadtime-stores", uuid.uuid4().hex))
+
+
+def _own(x: Fixture, *more: str) -> DataFrame:
+    """The runs of one model version, without its name."""
+    return x.forecasts.filter(Scope.of(**V1).condition()).select("series_id", "origin", "target", "value", *more)
 
 
-_add("superseded_view", _superseded, _with("SELECT model_id, model_version, series_id, origin, target, value + CASE WHEN day(origin) = 3 THEN 1 ELSE 0 END AS value, horizon FROM fc"))
+def _stored(archive: Archive) -> DataFrame:
+    return archive.as_of("2200-01-01").select(*CANONICAL)
+
+
+def _ingest_roundtrip(x: Fixture) -> DataFrame:
+    """A delivery with other names goes in twice, what comes out is what went in once."""
+    archive = _archive(x.cells.sparkSession)
+    frame = _own(x).toDF("sku", "run", "day", "yhat")
+    for _ in range(2):
+        archive.ingest(frame, {"series_id": "sku", "origin": "run", "target": "day", "value": "yhat"}, **V1)
+    return _stored(archive)
+
+
+def _adapter_roundtrip(x: Fixture) -> DataFrame:
+    archive = _archive(x.cells.sparkSession)
+    archive.ingest_cross_validation(_own(x).toDF("unique_id", "cutoff", "ds", "persist"), **V1)
+    return _stored(archive)
+
+
+def _superseded(x: Fixture) -> DataFrame:
+    """Runs of the third of a month are replaced by a second delivery; only live runs are seen."""
+    archive = _archive(x.cells.sparkSession)
+    archive.ingest(_own(x), **V1)
+    archive.ingest(_own(x).filter(F.dayofmonth("origin") == 3).withColumn("value", F.col("value") + 1.0), on_conflict="overwrite", **V1)
+    return _stored(archive)
+
+
+def _observed(x: Fixture) -> Archive:
+    """An archive with one model version and each cell's count as its actual."""
+    archive = _archive(x.cells.sparkSession)
+    archive.ingest(_own(x), **V1)
+    archive.register_actuals(x.cells.select("series_id", F.col("d").alias("target"), F.col("c").alias("value")), recorded_at="2100-01-01")
+    return archive
+
+
+def _summary_route(x: Fixture) -> DataFrame:
+    """A whole curve by default; the stored summary serves it."""
+    curve = _observed(x).accuracy_curve("RMSE", **V1)
+    rows = [(p.horizon, p.metric, p.basis, p.status, p.value, p.n, p.n_missing_actuals, p.served_from) for p in curve]
+    return x.cells.sparkSession.createDataFrame(rows, "horizon long, metric string, basis string, status string, value double, n long, n_missing_actuals long, served_from string")
+
+
+def _official_route(x: Fixture) -> DataFrame:
+    """Marked values and those designated on registration, read through the archive with fallback."""
+    archive = _observed(x)
+    third = x.cells.filter(F.dayofmonth("d") == 3).select("series_id", F.col("d").alias("target"), (F.col("c") + 1.0).alias("value"))
+    archive.register_actuals(third, source="audit", recorded_at="2100-01-02", official=True)
+    snapshot = archive.commits.snapshot()
+    return archive._effective(snapshot, "official", "latest")
+
+
+def _compare_custom(x: Fixture) -> DataFrame:
+    """A registered metric compared through the archive, with a pair that has no runs."""
+    archive = _observed(x)
+    archive.register_metric("WORST", _maxae, summarizable=False)
+    return archive.compare_models(7, [("persist", "v1"), ("nobody", "v1")], "WORST", champion=("persist", "v1"))
+
+
+_ROUND = _with(f"SELECT {', '.join(CANONICAL)} FROM fc WHERE {V1_SQL}")
+_OBSERVED = "(SELECT series_id, d AS target, c AS actual_value, false AS is_fallback FROM fx_cells)"
+_add("ingest_roundtrip", _ingest_roundtrip, _ROUND)
+_add("adapter_roundtrip", _adapter_roundtrip, _ROUND)
+_add("superseded_view", _superseded, _with(f"SELECT model_id, model_version, series_id, origin, target, value + CASE WHEN day(origin) = 3 THEN 1 ELSE 0 END AS value, horizon FROM fc WHERE {V1_SQL}"))
+_add("summary_route", _summary_route, f"WITH {FIXTURES},\n{_cells_sql(_OBSERVED, 'horizon', V1_SQL)}\nSELECT horizon, 'RMSE' AS metric, 'latest' AS basis, {_status('RMSE')}, \"RMSE\" AS value, n, n_missing_actuals, 'summary' AS served_from FROM cells")
+_add("official_route", _official_route, _with("SELECT series_id, d AS target, c + CASE WHEN day(d) = 3 THEN 1 ELSE 0 END AS actual_value, day(d) <> 3 AS is_fallback FROM fx_cells"))
+_add(
+    "compare_custom", _compare_custom,
+    f"""WITH {FIXTURES},
+p AS (SELECT abs(value - actual_value) AS e FROM fc LEFT JOIN {_OBSERVED} a USING (series_id, target) WHERE {V1_SQL} AND horizon = 7),
+w AS (SELECT max(e) AS value, count(e) AS n, count(*) - count(e) AS gone FROM p)
+SELECT 'persist' AS model_id, 'v1' AS model_version, CAST(7 AS BIGINT) AS horizon, 'WORST' AS metric, 'latest' AS basis, CASE WHEN gone > 0 THEN 'partial' ELSE 'ok' END AS status, value, n, 'v1' AS champion_version, true AS is_champion, 0::DOUBLE AS delta_vs_champion FROM w
+UNION ALL {_MISSING.replace("'MAE'", "'WORST'")} FROM (VALUES (7)) AS z(h)""",
+)
 
 
 def _custom(name: str, fn: Callable) -> Callable[[Fixture], DataFrame]:

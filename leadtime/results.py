@@ -28,8 +28,9 @@ class AccuracyResult:
     served_from: str
 
     @property
-    def usable(self) -> bool:
-        return self.value is not None
+    def ok(self) -> bool:
+        """Whether there is a value, of all forecasts or of some."""
+        return self.status != "insufficient"
 
     @property
     def fallback_used(self) -> bool:
@@ -38,9 +39,11 @@ class AccuracyResult:
 
 @dataclass(frozen=True)
 class AccuracyCurve:
-    """Points in the order asked for."""
+    """Points of one metric on one basis, in the order asked for."""
 
     points: tuple[AccuracyResult, ...]
+    metric: str = "MAE"
+    basis: str = "latest"
 
     def __iter__(self):
         return iter(self.points)
@@ -61,6 +64,6 @@ class AccuracyCurve:
             import matplotlib.pyplot as plt
 
             ax = plt.gca()
-        usable = [p for p in self.points if p.usable]
+        usable = [p for p in self.points if p.ok]
         ax.plot([p.horizon for p in usable], [p.value for p in usable], marker="o")
         return ax

@@ -13,6 +13,8 @@ def _schema(text: str) -> T.StructType:
 FORECASTS = _schema("model_id:s model_version:s series_id:s origin:t target:t value:d horizon:l run_id:s ingested_at:t")
 ACTUALS = _schema("series_id:s target:t source:s actual_value:d actual_recorded_at:t is_official:b")
 OFFICIALS = _schema("series_id:s target:t source:s actual_recorded_at:t designated_at:t")
+#: As stored: with the number of the commit that wrote it, which settles equal times.
+DESIGNATIONS = _schema("series_id:s target:t source:s actual_recorded_at:t designated_at:t commit_seq:l")
 EFFECTIVE = _schema("series_id:s target:t actual_value:d is_fallback:b")
 SUMMARY = _schema("model_id:s model_version:s series_id:s horizon:l metric:s period:s actual_basis:s value:d n:l n_forecasts:l")
 CURVE = _schema("horizon:l metric:s basis:s status:s value:d n:l n_missing_actuals:l n_fallback:l")

@@ -129,6 +129,89 @@ def test_compare_and_drill(filled):
     assert filled.horizons_in_scope(model_id="alpha") == [1, 2, 3]
 
 
+def test_every_listed_pair_has_its_row(filled):
+    listed = [("alpha", "v2"), ("nobody", "v1"), ("alpha", "v2")]
+    rows = filled.compare_curve(listed, horizons=[2, 9]).collect()
+    assert [(r["horizon"], r["model_id"], r["model_version"]) for r in rows] == [(h, *m) for h in (2, 9) for m in listed]
+    none = [r for r in rows if r["model_id"] == "nobody" or r["horizon"] == 9]
+    assert len(none) == 4 and all((r["status"], r["value"], r["n"], r["delta_vs_champion"]) == ("insufficient", None, 0, None) for r in none)
+    filled.register_metric("WORST", lambda f, x: np.abs(f - x).max(), summarizable=False)
+    worst = filled.compare_models(2, [("alpha", "v2"), ("alpha", "v1")], "WORST").collect()
+    assert [(r["value"], r["delta_vs_champion"]) for r in worst] == [(1.0, -1.0), (2.0, 0.0)]
+    assert {r["horizon"] for r in filled.compare_curve([("alpha", "v1")]).collect()} == {1, 2, 3}
+
+
+def test_default_curve_is_served(filled):
+    curve = filled.accuracy_curve("RMSE", model_id="alpha", model_version="v1")
+    assert [(p.horizon, p.served_from) for p in curve] == [(1, "summary"), (2, "summary"), (3, "summary")] and (curve.metric, curve.basis) == ("RMSE", "latest") and curve.points[0].ok
+    mixed = filled.accuracy_curve(horizons=[9, 1], model_id="alpha", model_version="v1")
+    assert [(p.horizon, p.served_from, p.ok) for p in mixed] == [(9, "raw", False), (1, "summary", True)]
+
+
+@pytest.mark.parametrize("column", ["target", "origin"])
+def test_numbers_hidden_among_objects_are_no_times(archive, column):
+    frame = forecasts(origins=1)
+    for values in ([20260102] * len(frame), [20260102.0] + [None] * (len(frame) - 1), [np.int64(20260102)] + ["2026-01-02"] * (len(frame) - 1)):
+        with pytest.raises(ValidationError, match="numeric"):
+            archive.ingest(frame.assign(**{column: pd.Series(values, dtype=object)}), model_id="m", model_version="v")
+    with pytest.raises(ValidationError, match="numeric"):
+        archive.register_actuals(actuals(1).rename(columns={"target": "when"}).assign(when=pd.Series([20260102] * 2, dtype=object)), {"target": "when"})
+
+
+def test_old_generations_go(spark, tmp_path, monkeypatch):
+    a = Archive(spark, tmp_path / "s")
+    a.ingest(forecasts(origins=1), model_id="m", model_version="v")
+    a.register_actuals(actuals())
+    named = json.loads((tmp_path / "s" / "summary.json").read_text())["data"]
+    assert [p.name for p in (tmp_path / "s" / "summary").iterdir()] == [named]
+    monkeypatch.setattr("leadtime.archive.write_json", lambda *_: (_ for _ in ()).throw(OSError("disk full")))
+    with pytest.raises(OSError):
+        a.rebuild_summary()
+    monkeypatch.undo()
+    assert [p.name for p in (tmp_path / "s" / "summary").iterdir()] == [named] and a.accuracy_at_horizon(1, model_id="m", model_version="v").served_from == "summary"
+
+
+def test_broken_side_files_are_typed_errors(spark, tmp_path):
+    a = Archive(spark, tmp_path / "s")
+    for text in ("{", "[1]", '{"m": 1}'):
+        (tmp_path / "s" / "champions.json").write_text(text)
+        with pytest.raises(StoreFormatError):
+            a.champions()
+
+
+def test_newest_values_of_many_sources_are_all_seen(spark, tmp_path):
+    log = spark.createDataFrame([("S", START, f"s{i:03d}", 1.0 if i < 149 else 2.0, START) for i in range(150)], "series_id string, target timestamp_ntz, source string, actual_value double, actual_recorded_at timestamp_ntz")
+    r = A.designated(log, "S", START).first()
+    assert (r["low"], r["high"], r["source"]) == (1.0, 2.0, "s000") and A.designated(log, "T", START).first() is None
+
+
+def test_readers_and_writers_together(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    a = Archive(spark, tmp_path / "s")
+    a.ingest(forecasts(origins=1), model_id="m", model_version="v0")
+
+    def write(i):
+        return Archive(spark, tmp_path / "s", lock_timeout=120).ingest(forecasts(float(i), origins=1), model_id="m", model_version=f"v{i}").n_runs_written
+
+    def read(_):
+        n = a.list_models().agg({"n_rows": "min"}).first()[0]
+        return n  # a version is there whole or not at all
+
+    with ThreadPoolExecutor(6) as pool:
+        writes, reads = [pool.submit(write, i) for i in range(1, 4)], [pool.submit(read, i) for i in range(12)]
+        assert [w.result() for w in writes] == [2, 2, 2] and {r.result() for r in reads} == {6}
+    assert a.list_models().count() == 4
+
+
+def test_log_lines_hold_no_values(spark, tmp_path, caplog):
+    with caplog.at_level("DEBUG", logger="leadtime"):
+        a = Archive(spark, tmp_path / "s")
+        a.ingest(forecasts(origins=1, series=("S7",)), model_id="quiet", model_version="v")
+        a.register_actuals(actuals(series=("S7",)))
+    assert caplog.records and not any("S7" in r.getMessage() or "quiet" in r.getMessage() or str(tmp_path) in r.getMessage() for r in caplog.records)
+
+
 def test_revisions_ties_and_officials(spark, tmp_path):
     a = Archive(spark, tmp_path / "s")
     a.ingest(forecasts(origins=1, series=("S1",)), model_id="m", model_version="v")

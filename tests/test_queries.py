@@ -31,6 +31,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
     from leadtime.operators.scope import Scope
     from leadtime.sources import fixtures as X
 
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")  # the plan's text is cut below that
     X.forecasts(X.cells(spark, SF)).write.parquet(f"file://{tmp_path}/f")
     stored = spark.read.parquet(f"file://{tmp_path}/f")
     plan = Scope.of("persist", "v1", horizons=[7]).apply(stored).select("value")._jdf.queryExecution().executedPlan().toString()
