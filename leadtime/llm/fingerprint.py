@@ -96,6 +96,10 @@ def merged(prints: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     return whole.select(*keys, coded.alias("fingerprint"))
 
 
+#: Ranges of doc_id for each shuffle partition, at most: so their bounds, which are broadcast, grow with the cluster's setting and not with the table.
+RANGES = 64
+
+
 def _cuts(ids: DataFrame, parts: int) -> list[int]:
     found = ids.filter(F.col("doc_id").isNotNull()).stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
     return sorted({int(x) for x in found or []})
@@ -115,7 +119,8 @@ def edited_fingerprints(documents: DataFrame, k: int = K, rows_per_range: int =
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spark, ids = docs.sparkSession, docs.select("doc_id")
     n_rows = ids.count()
-    cuts = np.array(_cuts(ids, max(1, n_rows // rows_per_range)), dtype=np.int64)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = np.array(_cuts(ids, max(1, min(n_rows // rows_per_range, RANGES * partitions))), dtype=np.int64)
     sent = spark.sparkContext.broadcast(cuts)
 
     @F.arrow_udf("long")
@@ -144,7 +149,7 @@ def edited_fingerprints(documents: DataFrame, k: int = K, rows_per_range: int =
     here = F.struct(F.col("__own").alias("r"), F.lit(False).alias("halo"))
     there = F.struct(F.col("__also").alias("r"), F.lit(True).alias("halo"))
     placed = placed.withColumn("__to", F.explode(F.when(F.col("__also") >= 0, F.array(here, there)).otherwise(F.array(here))))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // (8 * rows_per_range))
+    parts = max(partitions, (len(cuts) + 1) // 8)
     rows = (
         placed.select(F.col("__to.r").alias("r"), F.col("__to.halo").alias("halo"), "doc_id", "text")
         .repartition(parts, "r")
