@@ -26,8 +26,3 @@ def sampled(documents: DataFrame, labels: DataFrame, label: str, per_class: int
     chosen = known.filter("y = 0").orderBy(*order).limit(zeros).unionByName(known.filter("y = 1").orderBy(*order).limit(ones))
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
     return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-
-
-def sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, int]) -> list[tuple[str, int]]:
-    """(text, label) of ``sampled`` rows, in order of doc_id."""
-    return [(r.text, r.y) for r in sorted(sampled(documents, labels, label, per_class).collect(), key=lambda r: (r.doc_id, r.text))]

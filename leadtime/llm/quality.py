@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, sample
+from .common import materialize, tidy
+from .labelled import held_out, sampled
 
 #: Bytes compressed at a time.
 PIECE = 512
@@ -66,13 +68,12 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 6
 
 
 def _dictionary(texts: list[bytes], size: int, level: int) -> bytes:
-    """A dictionary of ``size`` bytes at most, with entropy tables, from pieces of the class's texts."""
+    """A dictionary of ``size`` bytes at most, with entropy tables, from all pieces of the class's texts; texts too few for tables are the dictionary themselves."""
     pieces = [t[at : at + PIECE] for t in texts for at in range(0, len(t), PIECE)]
-    pieces = pieces[:: max(1, len(pieces) // 40_000)]
     try:
         return zstandard.train_dictionary(min(size, max(1024, sum(map(len, pieces)) // 4)), pieces, k=200, d=8, level=level).as_bytes()
-    except zstandard.ZstdError:  # too little text for tables: the text itself
-        return b"".join(pieces)[-size:].ljust(8)
+    except zstandard.ZstdError:
+        return b"".join(pieces).ljust(8)
 
 
 def fit(rows: list[tuple[str, int]], share_good: float | None = None, dictionary_bytes: int = 112 << 10, level: int = 3) -> Model:
@@ -101,21 +102,34 @@ def fit(rows: list[tuple[str, int]], share_good: float | None = None, dictionary
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
-    """Fit on at most ``per_class`` labelled rows of each class that are not held out."""
+    """Fit on at most ``per_class`` labelled rows of each class that are not held out, those with the smallest hash of doc_id.
+
+    The bounded sample is gathered in one task, whose worker fits; only the dictionaries and the calibration come to the driver. Rows without
+    text, doc_id or label do not count; without rows of both labels every score is the share of label 1 (0.5 without labels).
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     share = known.agg(F.avg("quality")).first()[0]
-    return fit(sample(documents, labels, "quality", per_class), share)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "y"))))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(text, y) for _, text, y in rows], share))], pa.binary())], ["model"])
+
+    chosen = materialize(sampled(documents, labels, "quality", per_class), "sample")
+    return pickle.loads(chosen.coalesce(1).mapInArrow(run, "model binary").first()["model"])
 
 
 def scores(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), cut: float = 0.3) -> DataFrame:
     """``columns``, held_out, score, predicted for every row, of whole texts; null text counts as empty.
 
+    Repeated rows and equal texts score alike; a null doc_id is not held out; an empty table gives no rows; a long text is compressed piece by piece.
     One map stage without shuffle; the model travels once per executor.
     """
     schema = documents.select(*columns).schema
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
@@ -131,7 +145,8 @@ def scores(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_
 def kept(documents: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
     """The rows of ``documents`` that score at least ``cut``, all columns as they are; null text counts as empty.
 
-    Only the text column goes to Python.
+    A score equal to the cut stays, repeated rows stay or go together, and columns of any name come out unchanged. Only the text
+    column goes to Python.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
