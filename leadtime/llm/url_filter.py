@@ -19,6 +19,10 @@ RULES = (
 )
 
 
+#: Hosts that can have a share of one in FREQUENT of the pages or more.
+FREQUENT = 1000
+
+
 @dataclass(frozen=True)
 class Reputation:
     """A host is blocked when the lower posterior bound of its rate of bad pages, mean - z * sd, exceeds ``limit``."""
@@ -104,12 +108,13 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, settings: Re
     ``pages``: page_id, url; ``outcomes``: host, bad. Returns page_id, host, path, rule, verdict, bad_rate and bad_bound
     (posterior mean and lower bound, 6 places), one row per input row. Null urls and urls without '://' have
     empty host and path and are judged as the host ''. A host without outcomes takes its domain's posterior as prior, else
-    the suffix's, else the corpus's.
+    the suffix's, else the corpus's. A page whose bound equals the limit is allowed; repeated pages have a row each; no pages give no rows; other columns
+    of ``pages`` are not read.
     """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = host_reputation(outcomes)
     domain, suffix = host_levels(F.col("host"))
-    distinct = urls.select("host").distinct().withColumns({"domain": domain, "suffix": suffix})
+    distinct = urls.groupBy("host").agg(F.count(F.lit(1)).alias("rows")).withColumns({"domain": domain, "suffix": suffix})
     prior = F.coalesce(F.col("d.m2"), F.col("s.m1"), F.lit(known.mean))
     n, bad = F.coalesce(F.col("h.n"), F.lit(0)), F.coalesce(F.col("h.bad"), F.lit(0))
     a, b = bad + known.weight * prior, n - bad + known.weight * (1 - prior)
@@ -118,12 +123,20 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, settings: Re
         .join(known.hosts.alias("h"), F.col("u.host") == F.col("h.host"), "left")
         .join(known.domains.alias("d"), F.col("u.domain") == F.col("d.domain"), "left")
         .join(known.suffixes.alias("s"), F.col("u.suffix") == F.col("s.suffix"), "left")
-        .select(F.col("u.host").alias("host"), (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"))
-        .select("host", F.round("mean", 6).alias("bad_rate"), F.round(F.col("mean") - settings.z * F.col("sd"), 6).alias("bad_bound"))
+        .select(F.col("u.host").alias("host"), "rows", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"))
+        .select(F.col("host").alias("__host"), "rows", F.round("mean", 6).alias("bad_rate"), F.round(F.col("mean") - settings.z * F.col("sd"), 6).alias("bad_bound"))
     )
+    judged = materialize(judged, "judged")
+    total = judged.agg(F.sum("rows")).first()[0] or 0
+    # at most FREQUENT hosts have so many rows: they are broadcast, and their urls spread over all tasks of the join
+    frequent = judged.filter(F.col("rows") * FREQUENT >= total).select("__host", F.col("bad_rate").alias("__rate"), F.col("bad_bound").alias("__bound"))
     ruled = urls.withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules))
+    ruled = ruled.join(F.broadcast(frequent), F.col("host") == F.col("__host"), "left").drop("__host")
+    ruled = ruled.withColumn("__key", F.when(F.col("__bound").isNull(), F.col("host")).otherwise(F.concat(F.lit("\0"), F.xxhash64("page_id", "path").cast("string"))))
+    rest = judged.join(frequent.select("__host"), "__host", "left_anti").select("__host", F.col("bad_rate").alias("__rate2"), F.col("bad_bound").alias("__bound2"))
+    ruled = ruled.join(rest, F.col("__key") == F.col("__host"), "left").withColumns({"bad_rate": F.coalesce("__rate", "__rate2"), "bad_bound": F.coalesce("__bound", "__bound2")})
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("bad_bound") > settings.limit, "block").otherwise("allow"))
-    return ruled.join(judged, "host", "left").select("page_id", "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), "bad_rate", "bad_bound")
+    return ruled.select("page_id", "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), "bad_rate", "bad_bound")
 
 
 def outcomes_from_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
