@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows of an index part: one substring, and one slice of the rows if there are more.
-PART_ROWS = 200_000
+#: Rows that a part of an index is to have, and most leading bits of a substring by which an index is cut in parts; larger parts are salted.
+PART_ROWS, PART_BITS = 20_000, 8
 
 
 @dataclass(frozen=True)
@@ -80,31 +80,69 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~odd & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _search(rows: DataFrame, queries: DataFrame, book: Codebook, k: int, slices: int, radius: int) -> DataFrame:
-    """(query_id, vec_id, score): of each part of the index the k best of every query's candidates within ``radius``."""
+def _coded(rows: DataFrame, book: Codebook, query: bool) -> DataFrame:
+    """(vec_id, vector, code) of rows or of queries."""
+    sent = rows.sparkSession.sparkContext.broadcast(book)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                code = sent.value.codes(_matrix(batch["vector"], batch.num_rows), query).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["vector"], pa.array(code)], ["vec_id", "vector", "code"])
+
+    kind = rows.schema["vector"].dataType.simpleString()
+    return rows.select("vec_id", "vector").mapInArrow(run, f"vec_id long, vector {kind}, code long")
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _top(code: Column, book: Codebook, j: int, bits: int) -> Column:
+    """The leading ``bits`` of substring j of a code."""
+    low, high = book.bounds[j], book.bounds[j + 1]
+    return F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long")).cast("long") if bits >= high - low else F.shiftrightunsigned(code, high - bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+
+def _search(rows: DataFrame, queries: DataFrame, book: Codebook, k: int, radius: int) -> DataFrame:
+    """(query_id, vec_id, score): of each part of the index the k best of every query's candidates within ``radius``. ``rows`` and ``queries``: vec_id, vector, code.
+
+    An index of a substring is cut in parts by the substring's leading bits. A query goes to those parts alone whose bits differ from its own in no more than
+    the substring may, probes the buckets there that are near enough, and reads what these hold. A part that has too many rows, as when many vectors
+    are alike, is salted; its queries go to all of its shares.
+    """
     spark = rows.sparkSession
-    m = len(book.bounds) - 1
-    sent = spark.sparkContext.broadcast(book)
-    parts = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    indexed = rows.select(F.lit(0).alias("kind"), "vec_id", "vector", parts.alias("j"), F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"))
-    asked = queries.select(F.lit(1).alias("kind"), "vec_id", "vector", parts.alias("j"), F.lit(0).alias("s")).select("kind", "vec_id", "vector", "j", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    work = indexed.unionByName(asked).withColumn("part", F.col("j") * slices + F.col("slice")).repartition(m * slices, "part").sortWithinPartitions("part", "kind", "vec_id")
-
-    def answered(part: int, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, query_vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
-        held, j = sent.value, part // slices
-        reach = radius // m
-        codes = held.codes(vectors)
-        order = np.argsort(held.substring(codes, j), kind="stable")
-        ids, vectors, codes = ids[order], vectors[order], codes[order]
-        buckets, start = np.unique(held.substring(codes, j), return_index=True)
-        ends = np.append(start[1:], len(codes))
-        asked = held.codes(query_vectors, query=True)
-        values = held.substring(asked, j)
+    m, n_rows = len(book.bounds) - 1, rows.count()
+    sent, reach = spark.sparkContext.broadcast(book), radius // m
+    bits = max(0, min(PART_BITS, *(b - a for a, b in zip(book.bounds, book.bounds[1:])), (n_rows // PART_ROWS).bit_length()))
+    tops = F.posexplode(F.array(*[_top(F.col("code"), book, j, bits) for j in range(m)])).alias("j", "top")
+    indexed, asked = rows.select("vec_id", "vector", "code", tops), queries.select("vec_id", "vector", "code", tops)
+    sizes = indexed.groupBy("j", "top").count().collect()  # at most m * 2**PART_BITS
+    shares = [(r["j"], r["top"], -(-r["count"] // (2 * PART_ROWS))) for r in sizes]
+    starts = np.concatenate([[0], np.cumsum([n for *_, n in shares])]).tolist()
+    parts = spark.createDataFrame([(j, top, n, first) for (j, top, n), first in zip(shares, starts)], "pj int, ptop long, shares int, first long")
+    indexed = indexed.join(F.broadcast(parts), (F.col("j") == F.col("pj")) & (F.col("top") == F.col("ptop")))
+    indexed = indexed.select(F.lit(0).alias("kind"), "vec_id", "vector", "code", "j", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("shares"))).alias("part"))
+    near = F.bit_count(F.col("top").bitwiseXOR(F.col("ptop"))) <= reach
+    asked = asked.join(F.broadcast(parts), (F.col("j") == F.col("pj")) & near)
+    asked = asked.select(F.lit(1).alias("kind"), "vec_id", "vector", "code", "j", F.explode(F.expr("sequence(first, first + shares - 1)")).alias("part"))
+    n_parts = min(max(1, starts[-1]), max(int(spark.conf.get("spark.sql.shuffle.partitions")), starts[-1] // 4))
+    work = indexed.unionByName(asked).repartition(n_parts, "part").sortWithinPartitions("part", "kind", "vec_id")
+
+    def answered(j: int, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, query_vectors: np.ndarray, query_codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held = sent.value
+        own = held.substring(codes, j)
+        order = np.argsort(own, kind="stable")
+        ids, vectors, codes, own = ids[order], vectors[order], codes[order], own[order]
+        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        buckets, size = own[start], np.diff(np.append(start, len(own)))
+        values = held.substring(query_codes, j)
         out: list[tuple[np.ndarray, ...]] = []
         for q in range(len(query_ids)):
-            hit = np.bitwise_count(buckets ^ values[q]) <= reach
-            place = np.flatnonzero(np.repeat(hit, ends - start))
-            differ = codes[place] ^ asked[q]
+            hit = np.flatnonzero(np.bitwise_count(buckets ^ values[q]) <= reach)  # the buckets probed
+            width = size[hit]
+            place = np.repeat(start[hit] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+            differ = codes[place] ^ query_codes[q]
             keep = np.bitwise_count(differ) <= radius
             for i in range(j):  # another index has it already
                 keep &= np.bitwise_count(held.substring(differ, i)) > reach
@@ -125,29 +163,29 @@ def _search(rows: DataFrame, queries: DataFrame, book: Codebook, k: int, slices:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, list[pa.RecordBatch]] = {}
+        index: list | None = None  # part, substring, ids, vectors, codes of the rows read last
+        held: list[pa.RecordBatch] = []
+        built = None
 
-        def flush(part: int) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(tables.pop(part))
-            kind, ids = table["kind"].to_numpy(), table["vec_id"].to_numpy()
-            flat = table["vector"].combine_chunks()
-            flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-            vectors = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-            if (kind == 0).any() and (kind == 1).any():
-                yield from answered(part, ids[kind == 0], vectors[kind == 0], ids[kind == 1], vectors[kind == 1])
+        def read(some: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ids, codes = (np.concatenate([b[c].to_numpy() for b in some]) for c in ("vec_id", "code"))
+            return ids, np.concatenate([_matrix(b["vector"], b.num_rows) for b in some]), codes.view(np.uint64)
 
         for batch in batches:
-            values = batch["part"].to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]) if len(values) else [0]
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                part = int(values[lo])
-                for done in [p for p in tables if p != part]:
-                    yield from flush(done)
-                tables.setdefault(part, []).append(batch.slice(lo, hi - lo))
-        for done in list(tables):
-            yield from flush(done)
-
-    return work.select("part", "kind", "vec_id", "vector").mapInArrow(run, "query_id long, vec_id long, score double")
+            part, kind = batch["part"].to_numpy(), batch["kind"].to_numpy()
+            edge = np.flatnonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(part)]):
+                if lo == hi:
+                    continue
+                if index is None or index[0] != part[lo]:
+                    index, held, built = [int(part[lo]), int(batch["j"][lo].as_py())], [], None
+                if kind[lo] == 0:
+                    held.append(batch.slice(lo, hi - lo))
+                elif held:  # queries come after the part's rows, in batches
+                    built = built or read(held)
+                    yield from answered(index[1], *built, *read([batch.slice(lo, hi - lo)]))
+
+    return work.select("part", "kind", "j", "vec_id", "vector", "code").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(embeddings: DataFrame, query: Column, k: int = 20, sample_rows: int = 10_000, recall: float = 0.97) -> DataFrame:
@@ -156,8 +194,9 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, sample_rows: int
     Returns query_id, rank from 1, vec_id, score; nearest first, ties to the smaller vec_id, the query's own id left out. Every row is
     indexed; only rotation and radius come from a sample of at most ``sample_rows`` rows, those with the smallest hash.
     A query with fewer than k candidates in the radius is searched again in all rows, so no answer is short of what there is. Vectors that
-    are null, zero, not finite or of another length than most take no part, nor do null ids; of rows repeated under one vec_id
-    the smallest vector counts. An empty table gives no rows.
+    are null, zero or not finite take no part, nor do null ids, nor vectors of another length than most, which have no inner product with
+    them; of rows repeated under one vec_id the smallest vector counts, since an answer names its row by vec_id. Equal scores go to the smaller
+    vec_id. Other columns are not read. An empty table gives no rows.
     """
     spark = embeddings.sparkSession
     sound = embeddings.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
@@ -171,13 +210,13 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, sample_rows: int
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").toArrow()["vector"].combine_chunks()
     drawn = drawn.chunk(0) if isinstance(drawn, pa.ChunkedArray) else drawn
     book = learn(drawn.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, sizes["d"]), norm, k, recall)
-    slices = -(-sizes["count"] // PART_ROWS)
-    found = materialize(_search(rows, queries, book, k, slices, book.radius), "found")
+    rows, queries = materialize(_coded(rows, book, False), "codes"), materialize(_coded(queries, book, True), "query-codes")
+    found = materialize(_search(rows, queries, book, k, book.radius), "found")
     wanted = min(k, sizes["count"] - 1)
     enough = found.groupBy("query_id").count().filter(F.col("count") >= wanted)
     short = materialize(queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti"), "short")
     if wanted and not short.isEmpty():
-        again = _search(rows, short, book, k, slices, len(book.mean) + 64)
+        again = _search(rows, short, book, k, len(book.mean) + 64)
         found = found.join(enough.select("query_id"), "query_id", "left_semi").unionByName(again)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
