@@ -9,9 +9,11 @@ of its product with its transpose. These facts bound the work, none of them lose
   leading columns only. The order puts the n-grams found often in some part of the corpus last (a statistic of all texts that only
   steers the work), so a passage that many documents share is no leading column of theirs. Pairs whose summed overlap cannot reach c
   any more are discarded.
-* A column of more than SHORT members gives no pairs but a star: each member with the column's first. Marked columns, the only ones
+* Columns of more than SHORT members are taken by themselves, when it is known how many such columns a set has among its leading ones. If
+  these alone could make it link with a set of its size, its neighbours in size of that kind are joined in a chain. Other sets can meet
+  through them only sets of certain sizes, and only such pairs are counted. Marked columns, the only ones
   that can hold a large share of all rows, are not even gathered: each of their members goes with a node that stands for the
-  column. So candidates grow with the incidence, never with the square of a group.
+  column. So candidates grow with the incidence, not with the square of a group.
 * Candidate pairs and stars fall into connected groups. A group's whole sets travel once, as compressed texts, into one block, and the product
   is taken over all columns of the block; a pair links by its full overlap, and pairs already connected are not counted again. A group of
   more than BLOCK n-grams is cut in tiles, and each pair of tiles is a block.
@@ -30,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize
+from .common import drop, materialize, tidy
 from .components import connected_components
 from .shingles import WIDTH, shingle_sets
 
@@ -38,8 +40,9 @@ from .shingles import WIDTH, shingle_sets
 SHORT = 64
 #: Most n-grams marked as frequent; the most frequent ones of all that are.
 MARKED = 1 << 19
+PAIR = ["a", "b", "n", "m", "overlap"]
 #: N-grams of a block, about 100 bytes each in a worker while they are multiplied.
-BLOCK = 1_500_000
+BLOCK = 600_000
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -60,6 +63,7 @@ def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 def _sets(documents: DataFrame, width: int) -> DataFrame:
     """Rows (doc_id, text_hash, n, sid) of documents and, apart from them, (count, gram) of n-grams met at least twice in a task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "text_hash", "n", "sid", "gram"]
         held, size, seen = [], 0, set()
@@ -82,7 +86,7 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
                     held.append(s)
                     size += len(s)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(n), pa.int64())], names)
-            if size > 3_000_000:
+            if size > 2_000_000:
                 yield often()
                 held, size, seen = [], 0, set()
         yield often()
@@ -114,6 +118,7 @@ def _incidence(documents: DataFrame, marked: np.ndarray, percent: int, width: in
     """Leading columns of every distinct set of a task: gram, sid, n; for marked ones n is 0 and gram the column's own node, a negative number."""
     sent = documents.sparkSession.sparkContext.broadcast(marked)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = _Order(sent.value), set()
         for batch in batches:
@@ -158,60 +163,140 @@ def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return low[new], high[new], np.diff(np.concatenate([new, [len(low)]]))
 
 
-def _column_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
+def _blocked(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     """The product over leading columns, a block of columns in each task.
 
-    Rows are pairs (a, b) with their sizes and the overlap counted in this block's short columns; overlap 0 marks the edge of a
-    long column's star, whose ends are to meet whatever else is counted.
+    Kind 0 are pairs (a, b) with their sizes and the overlap counted in this block's short columns, kind 1 the rows (column, set, size) of long
+    columns, kind 2 the edges of marked columns.
     """
-    names = ["a", "b", "n", "m", "overlap"]
+    names = ["kind", "a", "b", "n", "m", "overlap"]
 
+    def batch(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, overlap: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n), pa.array(m), pa.array(overlap.astype(np.int32))], names)
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
         gram, sid, n = (table[c].to_numpy() for c in ("gram", "sid", "n"))
-        center, member = gram[n == 0], sid[n == 0]
-        gram, sid, n = gram[n > 0], sid[n > 0], n[n > 0]
-        order = np.lexsort((sid, n, gram))
-        gram, sid, n = gram[order], sid[order], n[order]
-        keep = np.concatenate([[True], (gram[1:] != gram[:-1]) | (sid[1:] != sid[:-1])])[: len(gram)]
-        gram, sid, n = gram[keep], sid[keep], n[keep]
+        center, member, _ = _counted(gram[n == 0], sid[n == 0])
+        yield batch(2, member, center, *[np.zeros(len(center), np.int32)] * 3)
+        gram, sid, n = _columns(gram[n > 0], sid[n > 0], n[n > 0])
         first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)])
         size = np.diff(np.concatenate([first, [len(gram)]]))
-        lead, of = np.repeat(first, size), np.repeat(size, size)
-        some = (of > 1) & (of <= SHORT)
-        g, s, k = gram[some], sid[some], n[some]
-        i, j = _met(g, k, percent)
+        of = np.repeat(size, size)
+        some, long = (of > 1) & (of <= SHORT), of > SHORT
+        s, k = sid[some], n[some]
+        i, j = _met(gram[some], k, percent)
         a, b, count = _counted(s[i], s[j])
         ids, at = np.unique(s, return_index=True)
-        sizes = k[at]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sizes[np.searchsorted(ids, a)]), pa.array(sizes[np.searchsorted(ids, b)]), pa.array(count.astype(np.int32))], names)
-        star = np.flatnonzero((of > SHORT) & (lead != np.arange(len(gram))))
-        a, b, _ = _counted(np.concatenate([sid[star], member]), np.concatenate([sid[lead[star]], center]))
-        none = np.zeros(len(a), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(none), pa.array(none), pa.array(none)], names)
+        yield batch(0, a, b, k[at][np.searchsorted(ids, a)], k[at][np.searchsorted(ids, b)], count)
+        yield batch(1, gram[long], sid[long], n[long], n[long], np.zeros(int(long.sum())))
+
+    return rows.repartition(parts, F.when(F.col("n") > 0, F.col("gram")).otherwise(F.col("sid"))).mapInArrow(run, "kind int, a long, b long, n int, m int, overlap int")
+
 
-    return rows.repartition(parts, F.when(F.col("n") > 0, F.col("gram")).otherwise(F.col("sid"))).mapInArrow(run, "a long, b long, n int, m int, overlap int")
+def _columns(gram: np.ndarray, sid: np.ndarray, n: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Incidence rows sorted by column, size and set, each once."""
+    order = np.lexsort((sid, n, gram))
+    gram, sid, n, *more = (x[order] for x in (gram, sid, n, *more))
+    keep = np.concatenate([[True], (gram[1:] != gram[:-1]) | (sid[1:] != sid[:-1])])[: len(gram)]
+    return tuple(x[keep] for x in (gram, sid, n, *more))
 
 
-def _candidates(met: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b): all stars, and the pairs whose overlap, summed over all column blocks, can still reach what their sizes need.
+def _least(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Leading columns that sets of sizes n <= m must share at least: what they need less what can lie beyond the leading ones of the larger."""
+    return _needed(n, m, percent) - (-(-percent * m // 100) - 1)
+
+
+def _long_edges(long: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs (a, b) with sizes and the overlap in long columns, of those whose long columns can suffice; overlap 0 marks edges of chains. ``long``: gram, sid, n, c.
+
+    c is the number of a set's long leading columns. Sets with enough of them for a partner of their own size are chained in each column; the
+    others are paired with the sets of a column whose sizes come into question, a narrow range.
+    """
+    t = percent / 100
+    r = t / (1 + t)
 
-    Common n-grams are leading in both sets, and then counted (or a star holds both), or lie beyond the
-    leading ones of the set whose leading ones end first: at most n - leading(n) of them.
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        gram, sid, n, c = _columns(*(table[x].to_numpy().astype(np.int64) for x in ("gram", "sid", "n", "c")))
+        dense = c >= _least(n, n, percent)
+        at = np.flatnonzero(dense)
+        linked = (gram[at[1:]] == gram[at[:-1]]) & (100 * n[at[:-1]] >= percent * n[at[1:]])
+        a, b, _ = _counted(sid[at[:-1]][linked], sid[at[1:]][linked])
+        none = np.zeros(len(a), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(none), pa.array(none), pa.array(none)], PAIR)
+        # rows are in order of (column, size): ranges of sizes are ranges of rows
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        column = np.cumsum(np.concatenate([[0], (gram[1:] != gram[:-1]).astype(np.int64)]))
+        scale = int(n.max()) + 2
+        place = column * scale + n
+        own = np.flatnonzero(~dense)
+        most = scale - 1
+        for up in (True, False):
+            if up:  # partners of the same size or larger
+                low = np.maximum(n[own], np.ceil((r * n[own] - c[own] - 1) / (t - r)).astype(np.int64) - 2)
+                high = np.minimum(100 * n[own] // percent, most)
+            else:  # smaller partners, of the dense kind
+                low = -(-percent * n[own] // 100)
+                high = np.minimum(n[own], np.floor((c[own] + 1 + (t - r) * n[own]) / r).astype(np.int64) + 2)
+            begin = np.searchsorted(place, column[own] * scale + np.clip(low, 0, most), side="left")
+            end = np.searchsorted(place, column[own] * scale + np.clip(high, 0, most), side="right")
+            width = np.maximum(0, end - begin)
+            step = np.searchsorted(np.cumsum(width), np.arange(0, int(width.sum()) + 1, 2_000_000))
+            for lo, hi in zip(step, [*step[1:], len(own)]):
+                w = width[lo:hi]
+                if not w.sum():
+                    continue
+                i = np.repeat(own[lo:hi], w)
+                j = np.repeat(begin[lo:hi] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
+                keep = (j > i) if up else (dense[j] & (i != j))
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                keep &= (100 * small >= percent * large) & (_least(small, large, percent) <= np.minimum(c[i], c[j]))
+                i, j = i[keep], j[keep]
+                if up:  # same size, both counted once; a dense partner of the same size belongs to the other pass
+                    both = ~(dense[j] & (n[i] == n[j]))
+                    i, j = i[both], j[both]
+                a, b, count = _counted(sid[i], sid[j])
+                ids, where = np.unique(sid, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n[where][np.searchsorted(ids, a)].astype(np.int32)), pa.array(n[where][np.searchsorted(ids, b)].astype(np.int32)), pa.array(count.astype(np.int32))], PAIR)
+
+    return long.repartition(parts, "gram").mapInArrow(run, "a long, b long, n int, m int, overlap int")
+
+
+def _candidates(met: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Edges (a, b): chains, members of marked columns, and the pairs whose overlap, summed over all column blocks, can still reach what their sizes need.
+
+    Common n-grams are leading in both sets, or lie beyond the
+    leading ones of the set whose leading ones end first: at most n - leading(n) of them. Leading ones are counted in short columns, and in long ones
+    where these can suffice; pairs with common short columns are given all the long columns that both could share besides.
     """
-    pairs = met.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("overlap").alias("overlap"), F.min("overlap").alias("least"))
+    short = met.filter("kind = 0").select("a", "b", "n", "m", "overlap", F.lit(0).alias("long"))
+    marked = met.filter("kind = 2").select("a", "b")
+    rows = met.filter("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("sid"), "n")
+    columns = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("c"))
+    edges = materialize(_long_edges(rows.join(columns, "sid"), percent, parts), "long-edges")
+    counted = edges.filter("overlap > 0").select("a", "b", "n", "m", F.lit(0).alias("overlap"), F.col("overlap").alias("long"))
+    pairs = short.unionByName(counted).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("overlap").alias("overlap"), F.sum("long").alias("long"))
+    pairs = pairs.join(columns.select(F.col("sid").alias("a"), F.col("c").alias("ca")), "a", "left").join(columns.select(F.col("sid").alias("b"), F.col("c").alias("cb")), "b", "left")
+    most = "overlap + if(overlap > 0, greatest(long, least(coalesce(ca, 0), coalesce(cb, 0))), long)"
     beyond = lambda c: f"(({percent} * {c} + 99) div 100 - 1)"
-    reach = f"overlap + greatest({beyond('n')}, {beyond('m')}) >= ({percent} * (n + m) + {99 + percent}) div {100 + percent}"
-    return pairs.filter(F.expr(f"least = 0 or {reach}")).select("a", "b")
+    reach = F.expr(f"{most} + greatest({beyond('n')}, {beyond('m')}) >= ({percent} * (n + m) + {99 + percent}) div {100 + percent}")
+    return pairs.filter(reach).select("a", "b").unionByName(edges.filter("overlap = 0").select("a", "b").distinct()).unionByName(marked)
 
 
 def _marked_ids(ids: DataFrame, bits: int) -> np.ndarray:
     """A filter of 2**bits bits, in 16 parts made on the executors: bit h & (2**bits - 1) of every id."""
     part_bits = bits - 4
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -237,6 +322,7 @@ def _involved(documents: DataFrame, ids: DataFrame, n_ids: int, width: int) -> D
     bits = min(28, max(16, (16 * n_ids).bit_length()))
     sent = documents.sparkSession.sparkContext.broadcast(_marked_ids(ids, bits))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, part_bits, pack = sent.value, set(), bits - 4, zstandard.ZstdCompressor(level=3, write_checksum=False)
         for batch in batches:
@@ -337,6 +423,7 @@ def _linked(groups: DataFrame, texts: DataFrame, percent: int, width: int, parts
     placed = placed.select("sid", "tile", F.xxhash64("group", F.least("tile", "other"), F.greatest("tile", "other")).alias("block"))
     work = placed.join(texts, "sid").repartition(parts, "block").sortWithinPartitions("block", "sid")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, held, block = zstandard.ZstdDecompressor(), ([], [], []), None
 
@@ -385,8 +472,8 @@ def jaccard_components(documents: DataFrame, percent: int = 80, width: int = WID
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # a task holds its block of columns whole: about a million rows of 24 bytes
     column_parts = max(parts, total * (100 - percent) // 100 // 1_000_000 + 1)
-    met = materialize(_column_blocks(_incidence(docs, marked, percent, width), percent, column_parts), "meetings")
-    edges = materialize(_candidates(met, percent), "candidates")
+    met = materialize(_blocked(_incidence(docs, marked, percent, width), percent, column_parts), "meetings")
+    edges = materialize(_candidates(met, percent, parts), "candidates")
     drop(met)
     groups = connected_components(edges).select(F.col("node").alias("s"), F.col("root").alias("group"))
     sizes = rows.filter("n > 0").groupBy("sid").agg(F.max("n").alias("n"))
