@@ -5,11 +5,10 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,30 +16,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked
+from .common import materialize, ranked, tidy
 from .shingles import chunks, text_bytes
 
 LENGTH = 2048
-#: Strings whose ids a worker remembers in each of two generations, about 250 bytes each, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 64
 #: Bytes of text cut in words at a time.
 CHUNK = 6 << 20
 
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ſ"
 #: What the tokenizer's own splitting does within ASCII and the Latin letters that have one normal form each.
-_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\r\f\v{_LETTERS}0-9]+")
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\r\f\v{_LETTERS}0-9]+|\n")  # and line feeds, which end the words here
 _OTHER = re.compile(r"[^\x00-\x7fÀ-ſ]|<\|")
 
 
-def splits_latin(tokenizer_path: str) -> bool:
-    """Whether the tokenizer normalises by NFC, white space and lower case, splits as ``_PARTS`` does and then maps bytes to characters, by its file."""
-    with open(tokenizer_path, encoding="utf-8") as file:
-        held = json.load(file)
-    kinds = [x["type"] for x in (held.get("normalizer") or {}).get("normalizers", [])]
-    steps = (held.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-    split = steps[0].get("pattern", {}).get("Regex")
-    bytewise = [x["type"] for x in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space")
-    return kinds == ["NFC", "Replace", "Lowercase"] and split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and bytewise
+#: Stands for the end of a word; no UTF-8 text holds this byte.
+_END = b"\xff"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -50,89 +40,98 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
 
-class Remembered:
-    """Ids by string: those of the present generation and of the one before."""
-
-    def __init__(self) -> None:
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def get(self, key: str) -> bytes | None:
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.new[key] = found
-        return found
-
-    def put(self, key: str, ids: bytes) -> None:
-        if len(key) <= LONGEST:
-            self.new[key] = ids
-
-    def age(self) -> None:
-        if len(self.new) > REMEMBERED:
-            self.new, self.old = {}, self.new
+def merges_by_rank(tokenizer_path: str):
+    """(bytes of a part -> ranks, ids by rank) of a tokenizer that normalises by NFC, white space and lower case, splits as ``_PARTS`` does, maps bytes to
+    characters and merges pairs up to word ends; None if its file says otherwise.
 
+    Such merges can be looked up by the bytes that they give, if each of its tokens is what the merges make of that token alone: merges of lower
+    rank than a token's own stay within its bytes wherever it comes about. ``Encoder`` checks that. The first merges join the last byte
+    of a word with _END, which the file's vocabulary has as units of their own.
+    """
+    import tiktoken
 
-def _bytes(ids: list[int]) -> bytes:
-    found = array("I", ids)
-    if sys.byteorder != "little":
-        found.byteswap()
-    return found.tobytes()
+    with open(tokenizer_path, encoding="utf-8") as file:
+        held = json.load(file)
+    kinds = [x["type"] for x in (held.get("normalizer") or {}).get("normalizers", [])]
+    steps, model = (held.get("pre_tokenizer") or {}).get("pretokenizers", [{}]), held["model"]
+    split = steps[0].get("pattern", {}).get("Regex")
+    bytewise = [x["type"] for x in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space")
+    if kinds != ["NFC", "Replace", "Lowercase"] or split != r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" or not bytewise or model.get("end_of_word_suffix") != "</w>":
+        return None
+    letters = _byte_letters()
+    byte, vocabulary = {chr(c): bytes([b]) for b, c in letters.items()}, model["vocab"]
+
+    def raw(token: str) -> bytes:
+        word_end = token.endswith("</w>")
+        return b"".join(byte[c] for c in (token[:-4] if word_end else token)) + _END * word_end
+
+    order = [(bytes([b]), vocabulary.get(chr(letters[b]), -1)) for b in range(256)]
+    order += [(bytes([b]) + _END, vocabulary.get(chr(letters[b]) + "</w>", -1)) for b in range(256)]
+    for pair in model["merges"]:
+        token = "".join(pair.split(" ") if isinstance(pair, str) else pair)
+        order.append((raw(token), vocabulary[token]))
+    ranks = {token: rank for rank, (token, _) in enumerate(order)}
+    if len(ranks) != len(order):
+        return None
+    core = tiktoken.Encoding("parts", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    return core.encode_single_piece, np.array([i for _, i in order], np.int64), [token for token, _ in order[512:]]
 
 
 class Encoder:
     """Ids of texts, by a tokenizer that drops spaces and line feeds and never joins across them.
 
-    Texts are cut in words by Arrow; each distinct word of a chunk is looked up, or tokenised if it is new, and the
-    ids of all words are taken by their places, without Python work for a word's further occurrences. If the tokenizer lower-cases and
-    splits as ``_PARTS`` does, new words of ASCII and Latin letters are cut in parts, which go to the tokenizer's model alone. What is
-    remembered is bounded by REMEMBERED and LONGEST.
+    Texts are cut in words by Arrow; the distinct words of a chunk are tokenised and the ids of all words taken by their places, without Python
+    work for a word's further occurrences. If ``merges_by_rank`` knows the tokenizer, words of ASCII and Latin letters are cut in parts, all by
+    one call, and each distinct part is merged once a chunk. Nothing is kept from chunk to chunk.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.words, self.parts = Remembered(), Remembered()
-        self.model = self.tokenizer.model if splits_latin(tokenizer_path) else None
-        self.letters = _byte_letters()
-
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            plain = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
-            found = _bytes([t.id for t in self.model.tokenize(plain)])
-            self.parts.put(part, found)
-        return found
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """Little-endian ids of distinct words."""
-        self.words.age()
-        self.parts.age()
-        found, whole = list(map(self.words.new.get, words)), []
-        for i in [i for i, x in enumerate(found) if x is None]:
-            w = words[i]
-            found[i] = x = self.words.get(w)
-            if x is None:
-                if self.model is None or _OTHER.search(w):
-                    whole.append(i)
-                else:
-                    found[i] = x = b"".join(map(self._part, _PARTS.findall(w.lower())))
-                    self.words.put(w, x)
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast([words[i] for i in whole], add_special_tokens=False)):
-            found[i] = _bytes(e.ids)
-            self.words.put(words[i], found[i])
-        return found
+        self.tokenizer, self.merged = Tokenizer.from_file(tokenizer_path), None
+        if (found := merges_by_rank(tokenizer_path)) is not None:
+            merged, ids, tokens = found
+            if all(merged(t) == [512 + i] for i, t in enumerate(tokens)):
+                self.merged, self.ids = merged, ids
+
+    def _part_ids(self, parts: list[str]) -> tuple[pa.LargeListArray, np.ndarray, np.ndarray]:
+        """Ids of the distinct parts, which of them each part is, and the number of ids of each distinct part; a line feed has none."""
+        coded = pa.array(parts, pa.large_string()).dictionary_encode()
+        found = [self.merged(x.encode() + _END) if x != "\n" else [] for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = self.ids[np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))].astype(np.uint32)
+        return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]), pa.array(flat)), coded.indices, size
+
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words without spaces and line feeds back to back, and how many each has."""
+        if self.merged is None:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        text = "\n".join([*words, ""])
+        if _OTHER.search(text):
+            whole = np.array([bool(_OTHER.search(w)) for w in words])
+            parts_of, others = [w for w, o in zip(words, whole) if not o], [w for w, o in zip(words, whole) if o]
+            own, own_size = self._word_ids(parts_of) if parts_of else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+            size = np.empty(len(words), np.int64)
+            size[~whole], size[whole] = own_size, [len(x) for x in found]
+            which = np.repeat(whole, size)
+            ids = np.empty(len(which), np.uint32)
+            ids[~which], ids[which] = own, np.fromiter(chain.from_iterable(found), np.uint32)
+            return ids, size
+        ids, which, size = self._part_ids(_PARTS.findall(text.lower()))
+        each = size[which.to_numpy()]
+        ends = np.cumsum(each)[np.flatnonzero(each == 0)]  # at the line feeds, the only parts without ids
+        return ids.take(which).flatten().to_numpy(), np.diff(ends, prepend=0)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (large_string without nulls) back to back, and len+1 offsets of each text's."""
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = cut.flatten().dictionary_encode()
-        held = self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
-        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        begin = np.concatenate([[0], np.cumsum(size)])
+        pool, size = self._word_ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         which = words.indices.to_numpy()
-        ids = pa.LargeListArray.from_arrays(begin, pa.array(np.frombuffer(b"".join(held), "<u4").astype(np.uint32, copy=False)))
+        ids = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]), pa.array(pool))
         ends = np.concatenate([[0], np.cumsum(size[which])])
         at = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         return ids.take(words.indices).flatten().to_numpy().astype("<u4", copy=False), ends[at]
@@ -156,6 +155,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, end_id: int = 0, length: i
 
     carried = place is not None
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["place"] * carried
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.int64()] * carried
