@@ -72,8 +72,8 @@ def _curve_sql(actuals: str, metric: str, basis: str, keys: str = "horizon", whe
 class Fixture:
     """The derived relations of one dataset."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.cells = X.cells(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, cells: Callable[[SparkSession, str], DataFrame] = X.cells) -> None:
+        self.cells = cells(spark, sf_dir)
         self.forecasts, self.log, self.officials = X.forecasts(self.cells), X.actuals_log(self.cells), X.officials(self.cells)
 
     def actuals(self, basis: str = "latest", fallback: str | None = None, priority=()) -> DataFrame:
@@ -290,6 +290,19 @@ QUERIES["canonicalize_frame"] = _canonicalized
 ORACLES["canonicalize_frame"] = _with(f"SELECT * FROM fc WHERE {V1_SQL}")
 
 
+def _curve_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly variant: many series, few of whose targets were observed."""
+    x = Fixture(spark, sf_dir, X.event_cells)
+    return E.curve(x.forecasts, x.actuals(), keys=BY_MODEL)
+
+
+QUERIES["curve_of_events"] = _curve_of_events
+ORACLES["curve_of_events"] = _curve_sql("latest", "MAE", "latest", BY_MODEL_SQL).replace(
+    "SELECT o_orderpriority AS series_id, o_orderdate AS d, count(*)::DOUBLE AS c FROM orders GROUP BY 1, 2",
+    "SELECT event_type || '-' || (user_id % 16)::VARCHAR AS series_id, date_trunc('hour', ts)::TIMESTAMP AS d, count(*)::DOUBLE AS c FROM events GROUP BY 1, 2",
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy by horizon of all models."""
     return QUERIES["accuracy_curve_all_models"](spark, sf_dir)
