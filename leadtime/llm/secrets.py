@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import drop, materialize
+
 #: Characters of context on each side of a candidate.
 NEAR = 48
 #: Candidates: what is assigned, from 8 on, whole, after [=:], as many spaces as the context shows and a quote; or words of 16 or more
@@ -43,18 +45,17 @@ class Forest:
 
 
 def learn_language(documents: DataFrame, n_words: int = 400, n_pairs: int = 150) -> Language:
-    """The most frequent words of 3 to 12 letters of all texts, and pairs of letters in them weighed by count.
+    """The most frequent words of 3 to 12 letters of all texts, and the most frequent pairs of letters in them, each word counting as often as it occurs.
 
-    Counts are combined on the map side; only the n most frequent of each pass the driver.
+    Counts are combined on the map side and written once; only the n most frequent of each pass the driver.
     """
     words = documents.select(F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?<![\p{L}\p{N}_])\p{L}{3,12}(?![\p{L}\p{N}_])"), 0)).alias("w")).groupBy("w").count()
-    top = words.orderBy(F.col("count").desc(), "w").limit(20_000)
-    kept = [(r["w"], r["count"]) for r in top.collect()]
-    pairs: dict[str, int] = {}
-    for w, n in kept:
-        for a, b in zip(w, w[1:]):
-            pairs[a + b] = pairs.get(a + b, 0) + n
-    return Language(tuple(w for w, _ in kept[:n_words]), tuple(p for p, _ in sorted(pairs.items(), key=lambda x: (-x[1], x[0]))[:n_pairs]))
+    words = materialize(words, "words")
+    top = [r["w"] for r in words.orderBy(F.col("count").desc(), "w").limit(n_words).collect()]
+    pairs = words.select(F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substr(w, i, 2))")).alias("p"), "count").groupBy("p").agg(F.sum("count").alias("n"))
+    common = [r["p"] for r in pairs.orderBy(F.col("n").desc(), "p").limit(n_pairs).collect()]
+    drop(words)
+    return Language(tuple(top), tuple(common))
 
 
 def _quoted(values: tuple[str, ...]) -> str:
@@ -62,15 +63,19 @@ def _quoted(values: tuple[str, ...]) -> str:
 
 
 def _features(language: Language) -> str:
-    """SQL array of FEATURES over c.value, c.before, c.after; regexes are raw strings."""
+    """SQL array of FEATURES over c.value, c.before, c.after; regexes are raw strings. Each takes time in proportion to the value's length."""
     v, low = "c.value", "lower(c.value)"
     words = "|".join(sorted(language.words, key=lambda w: (-len(w), w))) or "(?!)"
+    after: dict[str, str] = {}
+    for pair in language.pairs:
+        after[pair[0]] = after.get(pair[0], "") + pair[1]
+    pairs = "(?=" + "|".join(f"{a}[{b}]" for a, b in sorted(after.items())) + ")" if after else "(?!)"
     parts = [
         f"cast(length({v}) as double)",
         _share(f"regexp_count({v}, r'[0-9]')", f"length({v})"),
         _share(f"regexp_count({v}, r'[A-Z]')", f"length({v})"),
         _share(f"regexp_count({v}, r'(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]')", f"length({v}) - 1"),
-        _share(f"size(filter(sequence(1, greatest(length({v}) - 1, 1)), i -> array_contains(array({_quoted(language.pairs)}), substr({low}, i, 2))))", f"length({v}) - 1"),
+        _share(f"regexp_count({low}, r'{pairs}')", f"length({v}) - 1"),
         _share(f"length({v}) - length(regexp_replace({low}, r'{words}', ''))", f"length({v})"),
         "cast(c.before rlike r'[/\\\\@.]$' or c.after rlike r'^(?:[/\\\\@]|\\.[A-Za-z])' as int) * 1d",
         f"cast(c.before rlike r'{KEYWORDS}[^A-Za-z0-9]*$' as int) * 1d",
@@ -83,27 +88,38 @@ def _features(language: Language) -> str:
     return "array(" + ", ".join(parts) + ")"
 
 
-def with_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``__pieces``, the text between candidates, and ``__found``: array of (start, value, before, after) in text order.
+def _cut(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` plus __row, __values (the candidates) and __pieces (the texts between them).
+
+    What follows must use the arrays more than once, or filter with the row number in use: else the optimizer moves the two regular
+    expressions into later filters and lambdas, where they run anew for every candidate.
+    """
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return rows.withColumns({"__row": F.monotonically_increasing_id(), "__values": F.regexp_extract_all(t, F.lit(CANDIDATE), 0), "__pieces": F.split(t, CANDIDATE, -1)})
+
+
+#: The i-th candidate of a row: what stands before it reaches into the candidate before, which may be the name of what is assigned.
+_FOUND = f"transform(__values, (v, i) -> named_struct('gap', length(__pieces[i]), 'value', v, 'before', right(concat(if(i > 0, right(__values[i - 1], {NEAR}), ''), __pieces[i]), {NEAR}), 'after', left(__pieces[i + 1], {NEAR})))"
+
 
-    ``start`` counts code points from 0; ``before`` reaches into the candidate before, which may be the name of what is assigned. Null text has no candidates. Nothing is exploded: rows stay rows.
+def candidates(documents: DataFrame) -> DataFrame:
+    """One narrow row a candidate: doc_id, start (code points from 0), value, before, after.
+
+    Written once, so that texts are read and cut once whatever is asked of the candidates. Starts are running sums of lengths within a
+    text. Null and empty texts have no candidates; repeated rows have theirs each; all time is in proportion to the length of the
+    texts, however many or long their candidates are.
     """
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = rows.withColumn("__values", F.regexp_extract_all(t, F.lit(CANDIDATE), 0))
-    rows = rows.withColumn("__pieces", F.when(F.size("__values") > 0, F.split(t, CANDIDATE, -1)))
-    starts = "aggregate(sequence(1, size(__values)), named_struct('at', 0L, 'o', cast(array() as array<bigint>)), (s, i) -> named_struct('at', s.at + length(__pieces[i - 1]) + length(__values[i - 1]), 'o', concat(s.o, array(s.at + length(__pieces[i - 1]))))).o"
-    rows = rows.withColumn("__starts", F.when(F.size("__values") > 0, F.expr(starts)))
-    found = f"transform(__values, (v, i) -> named_struct('start', __starts[i], 'value', v, 'before', right(concat(if(i > 0, __values[i - 1], ''), __pieces[i]), {NEAR}), 'after', left(__pieces[i + 1], {NEAR})))"
-    empty = "cast(array() as array<struct<start: bigint, value: string, before: string, after: string>>)"
-    return rows.withColumn("__found", F.expr(f"if(size(__values) > 0, {found}, {empty})")).drop("__values", "__starts")
-
-
-def scored(rows: DataFrame, forest: Forest) -> DataFrame:
-    """``with_candidates`` rows with ``score`` added to each candidate."""
+    rows = _cut(documents.select("doc_id", "text")).filter("size(__values) > 0")
+    rows = rows.select("doc_id", "__row", F.posexplode(F.expr(_FOUND)).alias("at", "c"))
+    rows = materialize(rows.select("doc_id", "__row", "at", "c.gap", "c.value", "c.before", "c.after"), "candidates")
+    ends = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("__row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("doc_id", (ends - F.length("value")).cast("long").alias("start"), "value", "before", "after")
+
+
+def _score(forest: Forest) -> str:
+    """SQL of the share of trees that vote for a secret, over an array x of features."""
     votes = " + ".join(f"({t})" for t in forest.trees) or "0d"
-    x = f"transform(__found, c -> named_struct('c', c, 'x', {_features(forest.language)}))"
-    kept = f"transform({x}, e -> transform(array(e.x), x -> named_struct('start', e.c.start, 'value', e.c.value, 'before', e.c.before, 'after', e.c.after, 'score', ({votes}) / {max(1, len(forest.trees))}d))[0])"
-    return rows.withColumn("__found", F.expr(kept))
+    return f"({votes}) / {max(1, len(forest.trees))}d"
 
 
 def rule_label(value: Column, before: Column, after: Column) -> Column:
@@ -142,13 +158,11 @@ def train(findings: DataFrame, language: Language, trees: int = 24, depth: int =
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    from .common import materialize
-
     known = findings.filter(F.col("label").isin(0, 1)).select("value", "before", "after", F.col("label").cast("double").alias("label")).distinct()
     order = [F.xxhash64("value", "before", "after"), F.col("value"), F.col("before"), F.col("after")]
     chosen = known.filter("label = 0").orderBy(*order).limit(per_label).unionByName(known.filter("label = 1").orderBy(*order).limit(per_label))
     data = chosen.select(F.struct("value", "before", "after").alias("c"), "label").select(F.expr(_features(language)).alias("x"), "label")
-    data = materialize(data, "findings")
+    data = materialize(data, "findings")  # at most 2 * per_label rows
     classes = sorted(r[0] for r in data.select("label").distinct().collect())
     if len(classes) < 2:
         return Forest(tuple(f"{c!r}d" for c in classes), language)
@@ -157,44 +171,49 @@ def train(findings: DataFrame, language: Language, trees: int = 24, depth: int =
     return Forest(tuple(_compiled(t.toDebugString) for t in fitted.trees), language)
 
 
-def _exploded(rows: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` and each candidate as f. Not by explode: the optimizer then tests the array in a filter of its own, which splits the text anew for every candidate."""
-    return rows.select(*columns, F.explode_outer("__found").alias("f")).filter("f IS NOT NULL")
+def labelled_by_rules(found: DataFrame) -> DataFrame:
+    """``candidates`` with the label that ``rule_label`` gives, null where it is unsure."""
+    return found.select("value", "before", "after", rule_label(F.col("value"), F.col("before"), F.col("after")).alias("label"))
+
 
+def learn(documents: DataFrame, labelled: DataFrame | None = None, found: DataFrame | None = None, **settings) -> Forest:
+    """Forest from ``labelled`` findings (value, before, after, label), or else from the findings of ``documents`` that ``rule_label`` is sure of.
 
-def learn(documents: DataFrame, labelled: DataFrame | None = None, **settings) -> Forest:
-    """Forest from ``labelled`` findings, or else from the findings of ``documents`` that ``rule_label`` is sure of."""
+    ``found``: ``candidates`` of the documents, if they are there already.
+    """
     language = learn_language(documents)
     if labelled is None:
-        found = _exploded(with_candidates(documents.select("text"))).select("f.value", "f.before", "f.after")
-        labelled = found.withColumn("label", rule_label(F.col("value"), F.col("before"), F.col("after")))
+        labelled = labelled_by_rules(candidates(documents) if found is None else found)
     return train(labelled, language, **settings)
 
 
-def scan(documents: DataFrame, forest: Forest, cut: float = 0.5) -> DataFrame:
+def scan(documents: DataFrame, forest: Forest, cut: float = 0.5, found: DataFrame | None = None) -> DataFrame:
     """One row per finding: doc_id, start, length, value_sha256, score, is_secret.
 
-    Documents without candidates, null and empty texts give no rows; repeated rows give repeated findings. A
-    map stage: no shuffle, no Python.
+    Documents without candidates, null and empty texts give no rows; repeated rows give repeated findings, and equal scores are all above or all
+    below the cut (a score equal to it is a secret). Null doc_ids stay null; other columns of the documents are not read. No Python.
     """
-    rows = _exploded(scored(with_candidates(documents.select("doc_id", "text")), forest), "doc_id")
+    rows = (candidates(documents) if found is None else found).withColumn("c", F.struct("value", "before", "after"))
+    rows = rows.withColumn("x", F.expr(_features(forest.language))).withColumn("score", F.expr(_score(forest)))
     return rows.select(
-        "doc_id", F.col("f.start").alias("start"), F.length("f.value").cast("long").alias("length"), F.sha2("f.value", 256).alias("value_sha256"),
-        F.round("f.score", 6).alias("score"), (F.col("f.score") >= cut).alias("is_secret"),
+        "doc_id", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"),
+        F.round("score", 6).alias("score"), (F.col("score") >= cut).alias("is_secret"),
     )
 
 
 def redacted(documents: DataFrame, forest: Forest, cut: float = 0.5) -> DataFrame:
     """``documents`` with every secret found replaced by MASK, and n_chars counted anew where that changed the text.
 
-    All rows and columns stay, in their order; texts without secrets, nulls included, are untouched.
+    All rows and columns stay, in their order; texts without secrets, nulls included, are untouched. A map stage without shuffle: the
+    candidates of a text are scored within its row. Names __row, __values, __pieces and __secret are reserved.
     """
     own = documents.columns
-    rows = scored(with_candidates(documents), forest)
-    parts = f"transform(__pieces, (p, i) -> concat(p, if(i < size(__found), if(__found[i].score >= {cut}d, '{MASK}', __found[i].value), '')))"
-    hit = F.expr(f"exists(__found, f -> f.score >= {cut}d)")
-    rows = rows.withColumn("__hit", hit).withColumn("text", F.when(F.col("__hit"), F.concat_ws("", F.expr(parts))).otherwise(F.col("text")))
+    one = f"transform(array({_features(forest.language)}), x -> {_score(forest)} >= {cut}d)[0]"
+    rows = _cut(documents).withColumn("__secret", F.expr(f"transform({_FOUND}, c -> {one})"))
+    hit = F.expr("exists(__secret, s -> s)")
+    text = F.concat_ws("", F.expr(f"transform(__pieces, (p, i) -> concat(p, if(i < size(__values), if(__secret[i], '{MASK}', __values[i]), '')))"))
+    rows = rows.withColumn("__hit", hit).withColumn("text", F.when(F.col("__hit"), text).otherwise(F.col("text")))
     if "n_chars" in own:
         kind = documents.schema["n_chars"].dataType
         rows = rows.withColumn("n_chars", F.when(F.col("__hit"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rows.select(*own)
+    return rows.select(*[F.col(f"`{c}`") for c in own])
