@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leadtime.llm import common, components, fingerprint, jaccard_join, mixing, neighbours, packing, quality, secrets, sharding, shingles, toxicity, url_filter
+from leadtime.llm import common, components, fingerprint, jaccard_join, mixing, neighbours, packing, quality, queries, secrets, sharding, shingles, toxicity, url_filter
 
 WORDS = [a + b for a in "ka lo mi nu pe ra so tu vi xa".split() for b in "den fog hal jin kom lur mar nis pol qur".split()]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_hash string, n int, sid string, kind int, rank int"
@@ -183,16 +183,68 @@ def test_sharding(spark):
     assert sharding.shard_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shards_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, f"k{rng.randrange(9)}", rng.choice(["hot"] * 5 + ["a", None])) for i in range(700)]
+    table = common.materialize(spark.createDataFrame(rows, "doc_id long, v string, source string"), "s")
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.stratified_shards(table, 7).collect()}
+    by = collections.defaultdict(list)
+    for r in table.select("*", F.xxhash64("doc_id", "v", "source", F.lit(17)).alias("h")).collect():
+        by["null" if r.source is None else f"={r.source}"].append((unsigned(r.h), r.doc_id))
+    every = []
+    for stratum, own in by.items():
+        every += [(int((2 * k + 1) / (2 * len(own)) * 2.0**53), stratum, k, d) for k, (_, d) in enumerate(sorted(own))]
+    want, n = {}, len(every)
+    for place, (*_, d) in enumerate(sorted(every)):
+        shard = place * 7 // n
+        want[d] = (shard, place - -(-shard * n // 7))
+    assert got == want
+
+
 def test_ranks_of_a_hot_key(spark):
     df = common.materialize(spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id"), "t")
     got = common.ranked(df, ["k"], [F.col("id")], F.xxhash64("id"), "r", per_bucket=100).groupBy("k").agg(F.count("*").alias("n"), F.min("r").alias("a"), F.max("r").alias("b"), F.count_distinct("r").alias("d"), F.max("r_n").alias("m"))
     assert got.filter("a <> 0 or b <> n - 1 or d <> n or m <> n").isEmpty()
 
 
+def unsigned(x):
+    return x % 2**64
+
+
+def edf(blocks, weights):
+    """Sources slot by slot: of those whose next block is released the one due first, in phases that end with a source's last block."""
+    left, order = dict(blocks), []
+    while left:
+        active = sorted(left, key=lambda s: (-weights[s], s))
+        total, given, t = sum(weights[s] for s in active), dict.fromkeys(active, 0), 0
+        while all(left[s] > given[s] for s in active):
+            ready = [(-(-(given[s] + 1) * total // weights[s]), i, s) for i, s in enumerate(active) if given[s] * total // weights[s] <= t]
+            s = min(ready)[2]
+            given[s] += 1
+            order.append(s)
+            t += 1
+        left = {s: left[s] - given[s] for s in active if left[s] > given[s]}
+    return order
+
+
+def plain_mix(hashed, weights, block_rows, default=1):
+    """Rows (source, hash, row) in their order, by sorting and by ``edf``."""
+    by = collections.defaultdict(list)
+    for source, h, row in hashed:
+        by[source].append((unsigned(h), row))
+    blocks = {s: [sorted(r, key=lambda x: x[0])[at : at + block_rows] for at in range(0, len(r), block_rows)] for s, r in by.items()}
+    key = lambda s: "null" if s is None else f"={s}"
+    name = {key(s): s for s in blocks}
+    order = edf({key(s): len(b) for s, b in blocks.items()}, {key(s): weights.get(s, default) for s in blocks})
+    taken = {s: iter(b) for s, b in blocks.items()}
+    return [row for tag in order for _, row in next(taken[name[tag]])]
+
+
 def test_mixing(spark):
     sizes, weights = {"a": 900, "b": 300, "c": 500, None: 64}, {"a": 5, "b": 3, "c": 1}
     rows = [(i, s) for s, n in sizes.items() for i in range(n)]
-    got = mixing.mixed(common.materialize(spark.createDataFrame(rows, "doc_id long, source string"), "m"), weights, block_rows=10).collect()
+    table = common.materialize(spark.createDataFrame(rows, "doc_id long, source string"), "m")
+    got = mixing.mixed(table, weights, block_rows=10).collect()
     assert len(got) == len(rows) and len({r["place"] for r in got}) == len(rows)
     blocks = sorted({(r["slot"], r["source"]) for r in got}, key=lambda b: b[0])
     assert [b[0] for b in blocks] == list(range(len(blocks)))
@@ -207,11 +259,31 @@ def test_mixing(spark):
         if at[source] == left[source]:
             left = {s: left[s] - at[s] for s in left}
             start, at = slot + 1, collections.Counter()
+    hashed = [(r.source, r.h, (r.doc_id, r.source)) for r in table.select("*", F.xxhash64("doc_id", F.lit(29)).alias("h")).collect()]
+    assert [(r.doc_id, r.source) for r in sorted(got, key=lambda r: r["place"])] == plain_mix(hashed, weights, 10)
     assert mixing.mixed(spark.createDataFrame([], "doc_id long, source string"), weights).count() == 0
     with pytest.raises(ValueError):
         mixing.mixed(spark.createDataFrame([(1, "a")], "doc_id long, source string"), {"a": 0})
 
 
+def test_mixed_rows_keep_their_columns(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i if i % 11 else None, f"t{i}" if i % 13 else None, rng.choice(["hot"] * 6 + ["a", "b", None]), i, "x", 1.5, "z", 3, 4, 5) for i in range(1500)] + [(1, "dup", "a", 0, "x", 1.0, "z", 1, 2, 3)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, block long, slot string, place double, start string, total int, low int, t int").repartition(5)
+    weights = {"a": 3, "hot": 30_001}
+    out = mixing.ordered(df, weights, block_rows=8)
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    table = common.materialize(df, "x")
+    hashed = [(r.source, r.h, (r.doc_id, r.text, r.source)) for r in table.select("doc_id", "text", "source", F.xxhash64("doc_id", "text", F.lit(29)).alias("h")).collect()]
+    assert [(r.doc_id, r.text, r.source) for r in out.collect()] == plain_mix(hashed, weights, 8)
+    mixed = mixing.mixed(table, weights, block_rows=8, keys=("doc_id", "text"))
+    assert mixed.columns == [f"{c}_before" if c in ("block", "slot", "place") else c for c in df.columns] + ["block", "slot", "place"]
+    assert mixing.ordered(df.filter("false"), weights).count() == 0 and mixing.ordered(df.limit(1), weights).count() == 1
+    many = spark.range(600).selectExpr("id AS doc_id", "'x' AS text", "concat('s', id % 140) AS source")
+    monkeypatch.setattr(mixing, "SOURCES", 16)
+    assert mixing.ordered(many, {"s1": 4, "s139": 7}, block_rows=2).select("doc_id").distinct().count() == 600
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -309,8 +381,115 @@ def test_secrets_in_spaced_assignments(spark):
     assert all(masked[i].endswith(lead + secrets.MASK) for i, (lead, _) in zip(ids, lines))
     plain = frame(spark, [f"{prose(rng, 8)} title: {rng.choice(WORDS)}{rng.choice(WORDS)} {prose(rng, 8)}" for _ in range(20)])
     assert not any(r["is_secret"] for r in secrets.scan(plain, forest).collect())
-    plan = secrets.scan(df, forest)._jdf.queryExecution().optimizedPlan().toString()
-    assert not any("Filter" in line and "split(" in line for line in plan.splitlines())
+
+
+def test_url_sql_and_frequent_hosts(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
+    want = con.execute(url_filter.oracle_sql()).fetchall()
+    got = queries.op3_url_filter(spark, sf)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "bad_rate", "bad_bound"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    rows = [(i, "http://hot.bad/x" if i % 3 else f"http://h{i}.bad/x") for i in range(3000)] + [(None, None), (7, "http://hot.bad/x"), (7, "http://hot.bad/x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    outcomes = spark.createDataFrame([("hot.bad", 1)] * 60 + [("ok.fine", 0)] * 60, "host string, bad long")
+    found = url_filter.filter_urls(pages, outcomes).collect()
+    assert len(found) == len(rows) and all(r.verdict == "block" and r.bad_bound > 0.5 for r in found if r.host == "hot.bad") and url_filter.filter_urls(pages.filter("false"), outcomes).count() == 0
+
+
+def plain_features(language, value, before, after):
+    """FEATURES one by one, by loops."""
+    n, low = len(value), value.lower()
+    alnum = lambda a: a.isascii() and a.isalpha()
+    digit = lambda a: a in "0123456789"
+    steps = list(zip(value, value[1:]))
+    rest, at, words = 0, 0, sorted(language.words, key=lambda w: (-len(w), w))
+    while at < n:  # what no frequent word covers, from the left, the longest word first
+        hit = next((w for w in words if low.startswith(w, at)), None)
+        rest, at = (rest, at + len(hit)) if hit else (rest + 1, at + 1)
+    last = re.findall(r"[^\W\d_]+", before)
+    first = re.findall(r"[^\W\d_]+", after)
+    keyword = re.search(r"(password|passwd|passphrase|pass|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer)[^A-Za-z0-9]*$", before, re.I)
+    per, steps_n = max(n, 1), max(n - 1, 1)
+    return [
+        n, sum(map(digit, value)) / per, sum("A" <= a <= "Z" for a in value) / per, sum(alnum(a) and digit(b) or digit(a) and alnum(b) for a, b in steps) / steps_n,
+        sum(low[i : i + 2] in language.pairs for i in range(n - 1)) / steps_n, (n - rest) / per, float(bool(re.search(r"[/\\@.]$", before) or re.match(r"[/\\@]|\.[A-Za-z]", after))),
+        float(bool(keyword)), float(bool(re.search(r"[=:][ \t\"']*$", before))), float(bool(last) and last[-1].lower() in language.words), float(bool(first) and first[0].lower() in language.words),
+        len(set(value)) / per, sum("a" <= a <= "z" and "A" <= b <= "Z" or "A" <= a <= "Z" and "a" <= b <= "z" for a, b in steps) / steps_n,
+    ]
+
+
+def test_secret_candidates_and_features_equal_brute_force(spark):
+    rng = random.Random(12)
+    letters = "abcdefXYZ0123456789_"
+    texts = [None, "", "x", "token=" + "q7" * 5, "é token: 'aaaaaaaa' é \\tokens a1b2c3d4e5f6g7h8 user@ABCDEFGHIJKLMNOP.com"]
+    for _ in range(60):
+        made = [rng.choice([prose(rng, 3), "key = " + "".join(rng.choice(letters) for _ in range(rng.randint(8, 40))), "".join(rng.choice(letters) for _ in range(20)), "a/b/" + "k9" * 10 + "/c", "\n"]) for _ in range(rng.randint(1, 12))]
+        texts.append(rng.choice([" ", "\t", ", "]).join(made))
+    df = frame(spark, texts)
+    language = secrets.learn_language(df)
+    words = collections.Counter(w for t in texts for w in re.findall(r"(?<![^\W_])(?<!_)[^\W\d_]{3,12}(?![^\W_])(?!_)", (t or "").lower()))
+    pairs = collections.Counter()
+    for w, k in words.items():
+        for a, b in zip(w, w[1:]):
+            pairs[a + b] += k
+    assert language.words == tuple(sorted(words, key=lambda w: (-words[w], w))[:400]) and language.pairs == tuple(sorted(pairs, key=lambda p: (-pairs[p], p))[:150])
+    found = secrets.candidates(df)
+    got = found.withColumn("c", F.struct("value", "before", "after")).withColumn("x", F.expr(secrets._features(language))).collect()
+    pattern = re.compile(r"(?<![A-Za-z0-9_])(?:(?=[A-Za-z0-9_+/\-]{8})[A-Za-z0-9_+/\-]{8,}|(?=[A-Za-z_]*[0-9])[A-Za-z0-9_]{16,}|[A-Z0-9]{16,}(?![A-Za-z0-9_]))")
+    want = []
+    for d, t in enumerate(texts):
+        at, before = 0, 0
+        while t and at < len(t):  # the first kind of candidate stands after an assignment only
+            hit = pattern.match(t, at)
+            value = hit and hit[0]
+            if value and not re.search(r"[=:][ \t]{0,48}[\"']?$", t[:at]):
+                hit = re.compile(r"(?=[A-Za-z_]*[0-9])[A-Za-z0-9_]{16,}|[A-Z0-9]{16,}(?![A-Za-z0-9_])").match(t, at) if not re.match(r"[A-Za-z0-9_]", t[at - 1 : at]) else None
+                value = hit and hit[0]
+            if value:
+                want.append((d, at, value, t[before:at][-48:], None))
+                before, at = at, at + len(value)
+            else:
+                at += 1
+    assert sorted((r.doc_id, r.start, r.value, r.before) for r in got) == sorted(w[:4] for w in want) and len(want) > 100
+    for r in got:
+        assert r.x == pytest.approx(plain_features(language, r.value, r.before, r.after)), r.value
+
+
+def test_secrets_take_time_in_proportion(spark):
+    """Thousands of candidates in a text, and one candidate of 100 kB."""
+    import time
+
+    many = " ".join(f"token = a{i:07d}bcdefgh" for i in range(5000))
+    long = "password=" + "a1Bc" * 25_000
+    df = frame(spark, [many, long, "see 1234567890123456 there", None])
+    forest = secrets.learn(df)
+    start = time.time()
+    assert secrets.scan(df, forest).groupBy("doc_id").count().collect() and time.time() - start < 60
+    masked = {r.doc_id: r.text for r in secrets.redacted(df, secrets.Forest(("1d",), forest.language)).collect()}
+    assert masked[0] == " ".join(["token = " + secrets.MASK] * 5000) and masked[1] == "password=" + secrets.MASK and masked[3] is None and time.time() - start < 120
+
+
+def test_forest_learns_labelled_findings(spark):
+    """Trained on half of planted findings with their true labels, judged on the other half: keys without a keyword before them against ids, hashes in paths and long words."""
+    rng = random.Random(20)
+    rows = []
+    for i in range(800):
+        secret = i % 2
+        value = "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(32)) if secret else rng.choice(["order_" + "".join(rng.choice("0123456789") for _ in range(14)), "".join(rng.choice(WORDS) for _ in range(4)) + str(i), "".join(rng.choice("0123456789") for _ in range(20))])
+        rows.append((f"{prose(rng, 12)} {value} {prose(rng, 8)}", value, secret))
+    df = frame(spark, [r[0] for r in rows])
+    truth = {r[1]: r[2] for r in rows}
+    found = common.materialize(secrets.candidates(df), "f")
+    label = spark.createDataFrame(list(truth.items()), "value string, label int")
+    forest = secrets.learn(df, found.filter("doc_id < 400").join(label, "value").select("value", "before", "after", "label"))
+    judged = [(r.is_secret, rows[r.doc_id][2]) for r in secrets.scan(df, forest, found=found.filter("doc_id >= 400")).collect()]
+    caught = sum(1 for got, want in judged if got and want)
+    assert caught / 200 > 0.95 and caught / sum(g for g, _ in judged) > 0.95  # of all planted ones, a few without digits are no candidates
 
 
 def labelled(seed, n):
@@ -343,6 +522,62 @@ def test_classifiers_on_rows_not_seen(spark):
     assert toxicity.scores(docs, toxicity.train(docs, none)).count() == len(rows) + 2 and out
 
 
+def test_scores_equal_brute_force_on_odd_rows(spark):
+    import zstandard
+
+    rows = labelled(2, 300)
+    texts = [r[0] for r in rows] + [None, "", rows[0][0], "\x00", "a" * 3_000_000, "wort " * 50_000]
+    ids = [*range(len(rows)), None, 900, 0, 901, 902, 903]
+    docs = frame(spark, texts, ids).withColumns({"score": F.lit("s"), "predicted": F.lit("p"), "held_out": F.lit("h"), "y": F.lit(1)})
+    labels = spark.createDataFrame([(i, r[1], r[2]) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels, 120)
+    pair = [zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_dict_id=False) for d in (model.good, model.bad)]
+
+    def by_size(text):
+        raw = (text or "").encode()
+        good, bad = (sum(len(c.compress(raw[at : at + quality.PIECE])) for at in range(0, max(1, len(raw)), quality.PIECE)) for c in pair)
+        x, knots = (bad - good) / (bad + good), model.knots
+        k = max(i for i, a in enumerate(knots[:-1]) if a <= x)
+        return model.scores[k] + (model.scores[k + 1] - model.scores[k]) * (x - knots[k]) / (knots[k + 1] - knots[k])
+
+    got = quality.scores(docs, model).collect()
+    assert sorted((str(r.doc_id), round(r.score, 9), r.predicted) for r in got) == sorted((str(d), round(by_size(t), 9), int(by_size(t) >= 0.3)) for d, t in zip(ids, texts))
+    kept = quality.kept(docs, model)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, t in zip(ids, texts) if by_size(t) >= 0.3)
+    net = toxicity.train(docs, labels, (150, 100), steps=60)
+    found = toxicity.scores(docs, net).collect()
+    assert len(found) == len(texts) and {r.held_out for r in found if r.doc_id is None} == {False} and len({r.score for r in found if r.doc_id in (None, 900)}) == 1
+    seen = {r.doc_id: r.score for r in found}
+    for d, t in list(zip(ids, texts))[:12]:
+        assert seen[d] == pytest.approx(1 / (1 + np.exp(-(net.slope * plain_logit(net, re.sub(r"[^0-9A-Za-z\x80-\uffff]+", " ", t).strip()) + net.offset))), abs=1e-4)
+    assert quality.scores(docs.filter("false"), model).count() == 0 and toxicity.scores(docs.filter("false"), net).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = prose(rng, 400_000)
+    texts = [long, long.replace(WORDS[0], WORDS[1], 3), "x" * 2_000_000, None]
+    df = frame(spark, texts)
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    prints = {r.doc_id: r for r in fingerprint.edited_fingerprints(df).collect()}
+    assert [prints[i].n_chars for i in range(4)] == [len(t or "") for t in texts] and prints[1].near_next > 0.9
+
+
+def test_registered_queries_cover_their_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    n = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages")}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for name in ("op2_fingerprint", "op4_jaccard_join", "op5_mixing", "op6_toxicity", "op8_quality", "op10_sharding"):
+        got = queries.QUERIES[name](spark, sf).collect()
+        assert sorted(r.doc_id for r in got) == sorted(docs), name
+    found = queries.op1_secrets(spark, sf).collect()
+    assert found and all(hashlib.sha256(docs[r.doc_id][r.start : r.start + r.length].encode()).hexdigest() == r.value_sha256 for r in found)
+    assert {r.doc_id for r in queries.op9_packing(spark, sf).collect()} == set(docs) and n["documents"] == len(docs)
+    near = queries.op7_neighbours(spark, sf).collect()
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    assert {r.query_id for r in near} == {v for v in vectors if v % 20 == 0} and all(r.score == pytest.approx(float(vectors[r.query_id] @ vectors[r.vec_id]), abs=1e-9) for r in near)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     p = {k: rng.normal(size=s) * 0.5 for k, s in toxicity._shapes(1, 1).items() if k not in ("word", "gram")}
@@ -365,20 +600,52 @@ def test_windows_cover_every_word():
     assert seen == set(range(200)) and set(text.tolist()) == {1, 2, 3, 4} and (size <= toxicity.WINDOW).all()
 
 
-def test_texts_are_scored_at_every_start():
+def plain_logit(net, text):
+    """The largest logit of a text's windows, by loops over words: states of the runs that cover them, then attention within each window."""
+    words = text.split(" ")
+    w, which, at = toxicity.read_words(*shingles.text_bytes(pa.array([text])))
+    x = net.inputs(*net.rows(w))[which].astype(np.float64)
+    n, H, sigmoid = len(words), toxicity.HIDDEN, lambda z: 1 / (1 + np.exp(-z))
+
+    def run(k, order):
+        h, found = np.zeros(H), {}
+        for i in order:
+            g = x[i] @ net.p["W" + k] + net.p["b" + k]
+            hu = h @ net.p["U" + k]
+            z, r = sigmoid(g[:H] + hu[:H]), sigmoid(g[H : 2 * H] + hu[H : 2 * H])
+            h = z * h + (1 - z) * np.tanh(g[2 * H :] + r * hu[2 * H :])
+            found[i] = h
+        return found
+
+    states = {}
+    for lo in range(0, n, toxicity.SEGMENT):
+        hi = min(lo + toxicity.SEGMENT, n)
+        forward = run("f", range(max(0, lo - toxicity.WARM), hi))
+        back = run("b", range(min(n, hi + toxicity.WARM) - 1, lo - 1, -1))
+        states |= {i: np.concatenate([forward[i], back[i]]) for i in range(lo, hi)}
+    best = -np.inf
+    for first in range(max(1, n - toxicity.WINDOW + 1)):
+        own = np.array([states[i] for i in range(first, min(n, first + toxicity.WINDOW))])
+        weight = np.exp(own @ net.p["v"])
+        best = max(best, float((weight / weight.sum()) @ own @ net.p["w"] + net.p["c"][0]))
+    return best
+
+
+def test_texts_are_scored_at_every_start(monkeypatch):
     rng, draw = np.random.default_rng(2), random.Random(2)
-    texts = [prose(draw, n) for n in (1, 31, 32, 33, 40, 75, 200)]
+    texts = [prose(draw, n) for n in (1, 31, 32, 33, 40, 95, 96, 97, 128, 200, 333)]
     w = toxicity.read_words(*shingles.text_bytes(pa.array(texts)))[0]
     grams = np.unique(w.grams)
-    net = toxicity.Network(w.hashes, grams, {k: rng.normal(size=s).astype(np.float32) for k, s in toxicity._shapes(len(w.hashes), len(grams)).items()})
-    got = net.text_logits(*shingles.text_bytes(pa.array(texts)))
-    for text, best in zip(texts, got):
-        words = text.split(" ")
-        windows = [" ".join(words[i : i + 32]) for i in range(max(1, len(words) - 31))]
-        assert best == pytest.approx(net.text_logits(*shingles.text_bytes(pa.array(windows))).max(), abs=1e-4)
+    net = toxicity.Network(w.hashes[::2], grams, {k: rng.normal(size=s).astype(np.float32) for k, s in toxicity._shapes(len(w.hashes[::2]), len(grams)).items()})
+    want = [plain_logit(net, t) for t in texts]
+    for block, memo in ((4096, 200_000), (3, 10)):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        monkeypatch.setattr(toxicity, "MEMO", memo)
+        for _ in range(2):  # the second time most words are known
+            assert net.text_logits(*shingles.text_bytes(pa.array([*texts, ""]))) == pytest.approx([*want, toxicity.NO_WORDS], abs=1e-4)
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 24)) * rng.uniform(0.5, 1.5, size=(1500, 1))
     x[100:140] = x[100]
@@ -399,6 +666,17 @@ def test_neighbours(spark):
         assert [f[0] for f in found] == list(range(1, 21)) and np.allclose([score[v] for _, v, _ in found], [s for *_, s in found], atol=1e-12)
         assert [v for _, v, _ in found] == [v for _, v in sorted((-s, v) for _, v, s in found)]
     assert hits / (20 * len(got)) >= 0.9
+    monkeypatch.setattr(neighbours, "PART_ROWS", 100)  # many parts, and salted ones; the same answers, from a sample smaller than the table too
+    again = {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()}
+    assert again == {(q, n, v, round(score, 9)) for q, found in got.items() for n, v, score in found}
+    sampled, hits = collections.defaultdict(set), 0
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, sample_rows=300).collect():
+        sampled[r["query_id"]].add(r["vec_id"])
+    for q, found in sampled.items():
+        score = (x * x[q]).sum(1)
+        score[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(len(x)), -score))[:20].tolist()) & found)
+    assert hits / (20 * len(got)) >= 0.9
     few = neighbours.nearest(df.filter("vec_id < 4"), F.col("vec_id") % 20 == 0).collect()
     assert [r["rank"] for r in few] == [1, 2, 3]
     assert neighbours.nearest(df.filter("vec_id = 0"), F.col("vec_id") == 0).count() == 0 and neighbours.nearest(df.filter("false"), F.lit(True)).count() == 0
