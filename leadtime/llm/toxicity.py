@@ -17,6 +17,10 @@ from .shingles import _P, _power_table, chunks, mix, text_bytes, word_spans
 
 #: Words of a window, and from one window's start to the next in training; texts are scored at every start.
 WINDOW, STRIDE = 32, 16
+#: Words that a run of the network covers in a text that is scored, and words read before them, from either side.
+SEGMENT, WARM = 96, 32
+#: Runs computed at a time, and distinct words whose inputs a worker remembers, about 200 bytes each.
+BLOCK, MEMO = 4096, 200_000
 GRAMS = (3, 4, 5)
 WIDTH, HIDDEN = 12, 8
 #: Embeddings shrink by this share a step when touched.
@@ -37,11 +41,16 @@ class Words:
     at: np.ndarray
 
 
-def read_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Distinct words, which of them each word of the texts is, and len+1 offsets of each text's words."""
+def _distinct(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, the first byte and the length of one occurrence each, which of them each word is, and len+1 offsets of each text's words."""
     hashes, starts, ends, at = word_spans(raw, offsets, _SPLIT)
     own, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    lo, size = starts[first], (ends - starts)[first] + 2
+    return own, starts[first], (ends - starts)[first], which, at
+
+
+def _grams(raw: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character n-grams of words, and len+1 offsets of each word's."""
+    size = size + 2
     begin = np.concatenate([[0], np.cumsum(size)])
     byte = np.full(begin[-1], ord("<"), np.uint64)
     inner = np.repeat(lo - begin[:-1] - 1, size) + np.arange(begin[-1])
@@ -53,7 +62,7 @@ def read_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     letters[(letters >= 65) & (letters <= 90)] += np.uint64(32)
     byte[inside] = letters
     byte[begin[1:] - 1] = ord(">")
-    owner = np.repeat(np.arange(len(own), dtype=np.int32), size)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     left = np.repeat(begin[1:], size) - np.arange(begin[-1])
     power = _power_table(_P, 16)
     found, owners = [], []
@@ -66,16 +75,22 @@ def read_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
         owners.append(owner[fits])
     grams, owners = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return Words(own, grams[order], np.searchsorted(owners[order], np.arange(len(own) + 1))), which, at
+    return grams[order], np.searchsorted(owners[order], np.arange(len(size) + 1))
+
+
+def read_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Distinct words, which of them each word of the texts is, and len+1 offsets of each text's words."""
+    own, lo, size, which, at = _distinct(raw, offsets)
+    return Words(own, *_grams(raw, lo, size)), which, at
 
 
-def windows_of(at: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, words, text) of every window of every text; windows overlap by WINDOW - stride and cover all words."""
+def windows_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, text) of every window of every text; windows overlap by WINDOW - STRIDE and cover all words."""
     n = np.diff(at)
-    count = np.where(n > WINDOW, -(-(n - WINDOW) // stride) + 1, (n > 0).astype(np.int64))
+    count = np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > 0).astype(np.int64))
     text = np.repeat(np.arange(len(n)), count)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    first = np.where(n[text] > WINDOW, np.minimum(nth * stride, n[text] - WINDOW), 0)
+    first = np.where(n[text] > WINDOW, np.minimum(nth * STRIDE, n[text] - WINDOW), 0)
     return at[:-1][text] + first, np.minimum(n[text], WINDOW), text
 
 
@@ -94,6 +109,9 @@ class Network:
     offset: float = 0.0
     history: list[float] = field(default_factory=list)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+
     def rows(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Embedding row of each word (0: unknown), of each known n-gram, and len+1 offsets of the latter."""
         word = _known(self.words, w.hashes)
@@ -112,15 +130,15 @@ class Network:
             x[has] += np.add.reduceat(self.p["gram"][gram], at[has], axis=0) / np.sqrt(n[has, None])
         return x
 
-    def logits(self, w: Words, which: np.ndarray, at: np.ndarray, block: int = 4096, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-        """(logit, text) of every window."""
-        first, size, text = windows_of(at, stride)
+    def logits(self, w: Words, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logit, text) of every training window, each read alone."""
+        first, size, text = windows_of(at)
         x = self.inputs(*self.rows(w)) if len(w.hashes) else np.zeros((0, WIDTH), np.float32)
         gates = [np.concatenate([x @ self.p["W" + k] + self.p["b" + k], np.zeros((1, 3 * HIDDEN), np.float32)]) for k in "fb"]
         out = np.zeros(len(first), np.float32)
         order = np.argsort(size, kind="stable")
-        for lo in range(0, len(first), block):
-            pick = order[lo : lo + block]
+        for lo in range(0, len(first), BLOCK):
+            pick = order[lo : lo + BLOCK]
             steps = int(size[pick].max())
             place = first[pick, None] + np.arange(steps)
             live = np.arange(steps) < size[pick, None]
@@ -140,13 +158,77 @@ class Network:
             out[pick] = np.einsum("tb,tbh->bh", weight, states) @ self.p["w"] + self.p["c"][0]
         return out, text
 
+    def gates(self, raw: np.ndarray, own: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """What distinct words add to the gates of both directions; those of the last words are remembered."""
+        known, rows = self.__dict__.get("memo") or (np.zeros(0, np.uint64), np.zeros((0, 6 * HIDDEN), np.float32))
+        at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+        new = np.flatnonzero(known[at] != own) if len(known) else np.arange(len(own))
+        x = self.inputs(*self.rows(Words(own[new], *_grams(raw, lo[new], size[new])))) if len(new) else np.zeros((0, WIDTH), np.float32)
+        out = np.empty((len(own), 6 * HIDDEN), np.float32)
+        if len(known):
+            out[:] = rows[at]
+        for d, k in enumerate("fb"):
+            out[new, 3 * HIDDEN * d : 3 * HIDDEN * (d + 1)] = x @ self.p["W" + k] + self.p["b" + k]
+        if len(known) + len(new) > MEMO:
+            self.memo = (own, out)
+        elif len(new):
+            both, place = np.unique(np.concatenate([known, own[new]]), return_index=True)
+            self.memo = (both, np.concatenate([rows, out[new]])[place])
+        return out
+
+    def word_values(self, gates: np.ndarray, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each word what its state gives to the attention and to the logit.
+
+        A text is covered by runs of SEGMENT words; a run reads up to WARM words before and, backwards, after its own.
+        """
+        n = np.diff(at)
+        count = -(-n // SEGMENT)
+        text = np.repeat(np.arange(len(n)), count)
+        first = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
+        own, left = np.minimum(n[text] - first, SEGMENT), np.minimum(first, WARM)
+        right = np.minimum(n[text] - first - own, WARM)
+        first = first + at[:-1][text]
+        out, order = np.zeros((len(which), 2), np.float32), np.lexsort((own + right, left))
+        heads = [np.stack([self.p["v"][part], self.p["w"][part]], 1) for part in (slice(0, HIDDEN), slice(HIDDEN, 2 * HIDDEN))]
+        for lo in range(0, len(order), BLOCK):
+            pick = order[lo : lo + BLOCK]
+            f, m, l, r = first[pick], own[pick], left[pick], right[pick]
+            for k, steps, live_at in (("f", range(-int(l.max()), int(m.max())), lambda t: (t >= -l) & (t < m)), ("b", range(int((m + r).max()) - 1, -1, -1), lambda t: t < m + r)):
+                d = "fb".index(k)
+                part, u, h = gates[:, 3 * HIDDEN * d : 3 * HIDDEN * (d + 1)], self.p["U" + k], np.zeros((len(pick), HIDDEN), np.float32)
+                for t in steps:
+                    live = live_at(t)
+                    full = bool(live.all())
+                    place = f + t if full else np.where(live, f + t, f)
+                    new = _step(part[which[place]], h, u)
+                    h = new if full else np.where(live[:, None], new, h)
+                    if t >= 0:
+                        mine = t < m
+                        out[f[mine] + t] += (h if mine.all() else h[mine]) @ heads[d]
+        return out
+
     def text_logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The largest logit of all windows of each text, one at every start."""
-        w, which, at = read_words(raw, offsets)
+        """The largest logit of all windows of each text, one at every start: attention pools the states of the window's words."""
+        own, lo, size, which, at = _distinct(raw, offsets)
         best = np.full(len(offsets) - 1, NO_WORDS, np.float32)
-        if len(which):
-            logit, text = self.logits(w, which, at, stride=1)
-            np.maximum.at(best, text, logit)
+        if not len(which):
+            return best
+        values = self.word_values(self.gates(raw, own, lo, size), which, at).astype(np.float64)
+        n = np.diff(at)
+        text = np.repeat(np.arange(len(n)), n)
+        spread = np.arange(len(which)) + WINDOW * text  # after each text, WINDOW words without weight
+        sums = np.zeros((2, len(which) + WINDOW * len(n)))
+        weight = np.exp(values[:, 0] - values[:, 0].max())
+        sums[0, spread], sums[1, spread] = weight, weight * values[:, 1]
+        width = 1
+        while width < WINDOW:
+            sums[:, :-width] += sums[:, width:].copy()
+            width *= 2
+        starts = np.arange(len(which)) - at[:-1][text] <= np.maximum(n - WINDOW, 0)[text]
+        spread, text = spread[starts], text[starts]
+        logit = sums[1, spread] / np.maximum(sums[0, spread], 1e-300) + self.p["c"][0]
+        some = np.flatnonzero(n)
+        best[some] = np.maximum.reduceat(logit, np.searchsorted(text, some))
         return best
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -374,8 +456,11 @@ def train(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = (1600
 def scores(documents: DataFrame, network: Network, cut: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row: the score of the worst of all overlapping windows of the whole text.
 
-    Null and empty texts have no window and the lowest logit. One map stage without shuffle; the
-    network travels once per executor and texts are read in numpy, without Python work per word.
+    There is a window of WINDOW words at every start (one of all words in a shorter text). The states of its words come from runs that read up to
+    WARM words beyond their own, so that a word is read a bounded number of times however many windows hold it. Null and
+    empty texts have no window and the lowest logit; repeated rows and equal texts score alike; null doc_ids are scored and not held
+    out; an empty table gives no rows; other columns are not read. One map stage without shuffle; the
+    network travels once per executor and texts are read in numpy, without Python work per word, 2 MB of texts or one longer text at a time.
     """
     sent = documents.sparkSession.sparkContext.broadcast(network)
 
