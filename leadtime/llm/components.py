@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import drop, materialize
 
-#: Edges that a task contracts at a time, 16 bytes each.
-CHUNK = 2_000_000
+#: Edges that a task contracts at a time, some 100 bytes each while it does.
+CHUNK = 1_000_000
 
 
 def _forest(ends: np.ndarray) -> pa.RecordBatch:
@@ -32,8 +32,11 @@ def _forest(ends: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """The same components with fewer edges (a > b): those that a task holds, CHUNK at a time, become stars around their smallest nodes."""
+def _contracted(edges: DataFrame, n: int) -> DataFrame:
+    """The same components with fewer edges (a > b): those that a task holds, CHUNK at a time, become stars around their smallest nodes.
+
+    About ``n`` edges go to no more tasks than there are chunks, since a task contracts the more the more of them it holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -46,7 +49,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         if size:
             yield _forest(np.concatenate(held))
 
-    return edges.mapInArrow(run, "a long, b long")
+    return edges.coalesce(n // CHUNK + 1).mapInArrow(run, "a long, b long")
 
 
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
@@ -71,13 +74,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null")
     e = materialize(e, "edges")
-    current, seen = materialize(_contracted(e.filter("a <> b")), "forest"), None
+    current, seen = materialize(_contracted(e.filter("a <> b"), e.count()), "forest"), None
     while True:
         state = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
             break
         seen, before = state, current
-        current = materialize(_contracted(_starred(_starred(before, True), False)), "forest")
+        current = materialize(_contracted(_starred(_starred(before, True), False), state[0]), "forest")
         drop(before)
     ends = [current.select(F.col("a").alias("node"), F.col("b").alias("root")), current.select(F.col("b").alias("node"), F.col("b").alias("root")), e.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))]
     return ends[0].unionByName(ends[1]).unionByName(ends[2]).groupBy("node").agg(F.min("root").alias("root"))
